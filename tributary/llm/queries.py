@@ -6,6 +6,13 @@ the same tables; queries without one are tested against brute force in tests/llm
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tributary.llm.best_fit_packing import pack
+from tributary.llm.curriculum_mix import by_position, plan_mixture
+from tributary.llm.prob_minhash import near_duplicates
+from tributary.llm.site_quality import quality
 from tributary.llm.storage import table
 from tributary.llm.substring_dedup import substring_dedup
 
@@ -22,3 +29,28 @@ def query(f):
 def op1_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, with_text=False).withColumnRenamed("c_doc_id", "doc_id")
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_site_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality(docs, table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_prob_minhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+@query
+def op10_curriculum_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    plan = by_position(plan_mixture(docs))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))

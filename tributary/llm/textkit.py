@@ -115,3 +115,13 @@ def deltas(cells: np.ndarray) -> tuple[int, bytes]:
 
 def undeltas(width: int, payload: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(payload, f"<u{width}").astype(np.int64))
+
+
+def parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """Slices of a batch with about `most` text bytes, one row at least."""
+    size = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
