@@ -15,6 +15,8 @@ from tributary.llm.prob_minhash import near_duplicates
 from tributary.llm.site_quality import quality
 from tributary.llm.storage import table
 from tributary.llm.substring_dedup import substring_dedup
+from tributary.llm.warc import round_trip
+from tributary.llm.winnowing import compare_edited
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -54,3 +56,15 @@ def op10_curriculum_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = by_position(plan_mixture(docs))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+
+
+@query
+def op2_warc(spark, sf_dir):
+    pages = round_trip(table(spark, sf_dir, "pages"), with_payload=False)
+    return pages.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op3_winnowing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compare_edited(docs).withColumnRenamed("id", "doc_id")
