@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tributary.llm.best_fit_packing import pack
 from tributary.llm.curriculum_mix import by_position, plan_mixture
+from tributary.llm.hamming_search import hamming_top_k
+from tributary.llm.ordinal_toxicity import toxicity
 from tributary.llm.prob_minhash import near_duplicates
+from tributary.llm.run_length_dedup import run_length_dedup
 from tributary.llm.site_quality import quality
 from tributary.llm.storage import table
 from tributary.llm.substring_dedup import substring_dedup
@@ -68,3 +71,33 @@ def op2_warc(spark, sf_dir):
 def op3_winnowing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return compare_edited(docs).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_run_length_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_length_dedup(docs, with_bytes=False).withColumnRenamed("c_doc_id", "doc_id")
+
+
+@query
+def op6_hamming_search(spark, sf_dir):
+    return hamming_top_k(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op6_hamming_search"] = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id,
+         CAST(len(list_filter(range(1, 65), lambda i: (q.embedding[i] > 0) <> (e.embedding[i] > 0))) AS INTEGER) AS distance
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
+  WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+WHERE rank <= 10
+"""
+
+
+@query
+def op7_ordinal_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "severity", "grade", "toxic")

@@ -45,10 +45,10 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return out, offs - offs[0]
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each word; a word never crosses a row."""
+def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each word; a word never crosses a row. `between` tells which bytes part words."""
     n = int(offs[-1])
-    solid = ~SPACE[data[:n]]
+    solid = ~between[data[:n]]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     stop = solid.copy()
