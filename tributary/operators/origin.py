@@ -22,11 +22,12 @@ from tributary.sources.parquet import checked_directory
 def verify_dataset(spark: SparkSession, dataset: Path, root: Path, approved: Approved | None = None) -> Report:
     """The dataset against itself, then against its sources."""
     try:
+        dataset = checked_directory(dataset)
         stored, parts, _, _ = read_dataset(dataset)
         if approved is not None and approved != stored:
             raise Conflicted("the dataset was made by another approval")
         root = checked_directory(root)
-        return verify(spark, stored, [root / s.relative_path for s in stored.plan.sources], Path(dataset), parts, control=True)
+        return verify(spark, stored, [root / s.relative_path for s in stored.plan.sources], dataset, parts, control=True)
     except (Exception, KeyboardInterrupt) as error:
         return refusal(status_of(error), error, approved)
 
@@ -53,10 +54,11 @@ def check_provenance(spark: SparkSession, approved: Approved, dataset: Path, par
 def lookup_origin(spark: SparkSession, dataset: Path, source_id: int, row: int, root: Path | None = None) -> Origin:
     """The origin of a row. Without sources the output is checked alone; with them, everything is."""
     exact(spark)
+    dataset = checked_directory(dataset)
     approved, parts, _, _ = read_dataset(dataset)
     source = coordinate(approved, source_id, row)
     if root is None:
-        check_provenance(spark, approved, Path(dataset), parts)
+        check_provenance(spark, approved, dataset, parts)
         return Origin("OUTPUT_HASHES_MATCH", source, row, approved.resolutions, "HISTORICAL")
     report = verify_dataset(spark, dataset, root, approved)
     if not report.verified:

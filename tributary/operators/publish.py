@@ -28,9 +28,9 @@ def rewrite(spark: SparkSession, approved: Approved, source_paths: list[Path], d
     if any(directory.iterdir()):
         raise Refusal("parts are written to an empty directory")
     exact(spark)
-    proposal, parts = approved.plan.proposal, []
+    proposal, parts, directory = approved.plan.proposal, [], Path(directory).absolute()
     for s, path in zip(approved.plan.sources, source_paths, strict=True):
-        part = write_part(align(scan(spark, str(path), s.source_id, s.fields), s.fields, proposal.fields), proposal, s.source_id, directory, approved.plan.limits)
+        part = write_part(align(scan(spark, str(Path(path).absolute()), s.source_id, s.fields), s.fields, proposal.fields), proposal, s.source_id, directory, approved.plan.limits)
         if part.rows != s.num_rows:
             raise Refusal(f"source={s.source_id}: {part.rows} rows were written of {s.num_rows}", "ERROR")
         parts.append(part)

@@ -214,7 +214,8 @@ def verify(spark: SparkSession, approved: Approved, source_paths: list[Path], da
     """Everything afresh: sources, derived schema, parts' bytes and footers, coordinates, every observation."""
     exact(spark)
     try:
-        plan = approved.plan
+        plan, dataset = approved.plan, Path(dataset).absolute()
+        source_paths = [Path(p).absolute() for p in source_paths]
         if plan.runtime != runtime():
             raise Unsupported(f"the plan was made with {plan.runtime}, this is {runtime()}")
         if not source_paths:
