@@ -183,7 +183,7 @@ def _fetch(size: int, k: int, shards: int):
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; seven 9-bit symbols to start with."""
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, np.int64)])
+    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(7, np.int64)])  # 0 is after the end, before every symbol
     key = np.zeros(n, np.int64)
     for i in range(7):
         key = (key << 9) | padded[i : i + n]
