@@ -128,7 +128,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     fitted = seen.select("label", "text").mapInArrow(_featured, "label int, x array<float>").toPandas()
     y = fitted["label"].to_numpy(np.float64)
     weights, bias, base = np.zeros(FEATURES), 0.0, 0.0
-    if 0 < y.sum() < len(y):
+    told = 0 < y.sum() < len(y)
+    if told:
         weights, bias = fit_logistic(np.stack(fitted["x"].to_numpy()).astype(np.float64), y)
         base = float(np.log(y.mean() / (1 - y.mean())))
     else:
@@ -157,5 +158,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     without = F.least(F.greatest(without, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.log(without / (1 - without)) + F.col("evidence")
     out = out.withColumn("path_quality", (F.col("host_quality") * path_strength + F.col("path_good")) / (path_strength + F.col("path_n"))).withColumn("quality", 1 / (1 + F.exp(-odds)))
-    return out.select("id", "evidence", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("keep"), *(["row"] if carry else []))
+    return out.select("id", "evidence", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold if told else F.col("evidence") > -20).alias("keep"), *(["row"] if carry else []))
 
