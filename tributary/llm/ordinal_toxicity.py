@@ -74,7 +74,7 @@ def select(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, width: int, le
     expected = (inside + outside) * a / (a + b)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.where(inside > 0, inside * np.log(inside / expected), 0) + np.where(outside > 0, outside * np.log(outside / (inside + outside - expected)), 0))
-    gain[(inside < least) | (inside <= 2 * expected)] = 0
+    gain[(inside < least) | (inside / a <= 2 * outside / b)] = 0
     best = np.argsort(-gain, kind="stable")[:most]
     return np.sort(best[gain[best] > 10.83])
 
@@ -144,7 +144,7 @@ def _score(model: OrdinalModel, names: list[str]):
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grades: int = GRADES, sample: int = 8192, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grades: int = GRADES, sample: int = 8192, threshold: float = 0.4) -> DataFrame:
     """One row per document: id, severity (expected grade), grade, exceed (P(grade > j)), toxic.
 
     `toxic` is P(grade > 0) >= threshold. `sample` bounds the labelled documents that the fit sees:
