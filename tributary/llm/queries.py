@@ -36,6 +36,24 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(docs, with_text=False).withColumnRenamed("c_doc_id", "doc_id")
 
 
+SQL["op1_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 49)) AS i, unnest(list_transform(generate_series(1, len(w) - 49), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS k
+  FROM d WHERE len(w) >= 50),
+firsts AS (SELECT k, min(doc_id) AS least FROM starts GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS place FROM starts JOIN firsts USING (k), range(50) AS r(j) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS place FROM d),
+kept AS (
+  SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.place) AS t
+  FROM words LEFT JOIN gone USING (doc_id, place) WHERE gone.place IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op4_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +85,19 @@ def op2_warc(spark, sf_dir):
     return pages.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+SQL["op2_warc"] = r"""
+WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+b AS (
+  SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest
+  FROM d),
+m AS (SELECT payload_digest, max(page_id) AS top FROM b GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM b JOIN m USING (payload_digest)
+"""
+
+
 @query
 def op3_winnowing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
