@@ -12,9 +12,11 @@ vectors, which is plain Jaccard where weights are equal.
 2. Banding: `band` registers hash to a bucket. Of a bucket, each text is compared
    with the smallest key only, so that a group of any size gives as many pairs as it
    has texts. All pairs are verified exactly on their whole texts.
-3. Classes are the connected components of verified pairs. Buckets whose texts are
-   then still in several components are compared block by block on their signatures,
-   across components only; promising pairs are verified, until nothing merges.
+3. Classes are the connected components of verified pairs. In buckets whose texts are
+   then still in several components, every text proposes texts of other components that a
+   longer signature finds promising: its likest few in the first round, which unites groups
+   of copies of one text, and after that all that are left. Proposals are verified and
+   components renewed until no text has a promising one.
 
 Equal texts share one key from the start and cost one group-by row each. Texts,
 signatures and links stay distributed; the driver sees counts.
@@ -22,6 +24,8 @@ signatures and links stay distributed; the driver sees counts.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,8 +35,10 @@ from pyspark.sql.window import Window
 from tributary.llm import textkit as K
 from tributary.llm.storage import written
 
-#: Registers that agree fall short of the true likeness by 4.5 standard deviations at most, for all practical purposes.
-SLACK = 4.5
+#: A pair is promising if its estimate is at most so many standard deviations below the threshold.
+SLACK = 4.0
+#: Proposals of a text in one bucket in the first round. Later rounds have no such bound.
+FIRST = 3
 
 
 def text_key(text_col: str) -> Column:
@@ -103,7 +109,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / ((above + only_x) / x + (below + only_y) / y)).sum())
 
 
-def _sign(k: int, m: int, band: int):
+def _sign(k: int, m: int, bands_of: int, band: int):
     def sign(batches):
         for batch in batches:
             for part in K.parts(batch, "text"):
@@ -112,8 +118,9 @@ def _sign(k: int, m: int, band: int):
                 row, h, weight = shingles(data, offs, k)
                 sig = signatures(row, h, weight, n, m)
                 has = np.bincount(row, minlength=n) > 0
-                bands = np.empty((n, m // band), np.int64)
-                for b in range(m // band):
+                four = (sig & K.U(15)).astype(np.uint8)  # four bits of a register are enough to compare
+                bands = np.empty((n, bands_of), np.int64)
+                for b in range(bands_of):
                     v = np.full(n, b + 1, K.U)
                     for j in range(band):
                         v = K.mix(v * K.U(0xD6E8FEB86659FD93) + sig[:, b * band + j])
@@ -122,8 +129,8 @@ def _sign(k: int, m: int, band: int):
                     [
                         part.column("id"),
                         part.column("key"),
-                        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (m // band), pa.array(bands.ravel()), mask=pa.array(~has)),
-                        pa.array([x.tobytes() for x in (sig & K.U(255)).astype(np.uint8)], pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands_of, pa.array(bands.ravel()), mask=pa.array(~has)),
+                        pa.array([x.tobytes() for x in four[:, ::2] << 4 | four[:, 1::2]], pa.binary()),
                     ],
                     names=["id", "key", "bands", "registers"],
                 )
@@ -172,50 +179,60 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("key", "root")
 
 
-def _across(size: int, least: float, m: int):
-    """Candidates in one bucket block pair: for each text, the likest text of every other component."""
+def _propose(least: float, most: int | None):
+    """In a pair of blocks of one bucket: for each text, its likest (at most `most`) untried texts of other components.
+
+    Without `most`, each pair comes once: in the first bucket that its texts share, from the smaller key.
+    """
 
-    def across(table):
-        roots = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
-        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(-1, m)
-        keys, side = table["key"].to_pylist(), np.asarray(table["side"])
-        a, b = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-        if not len(b) or (side == 2).all():
-            a = b = np.arange(len(keys))
-        found = set()
-        for i in a:
-            other = b[roots[b] != roots[i]]
+    def propose(key, table):
+        h = key[0].as_py()
+        keys = table["key"].to_pylist()
+        at = {k: i for i, k in enumerate(keys)}
+        rank = np.argsort(np.argsort(np.array(keys, object)))
+        root = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+        packed = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(len(keys), -1)
+        regs = np.concatenate([packed >> 4, packed & 15], axis=1)
+        bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(keys), -1)
+        here = bands[0].tolist().index(h)
+        side, tried = np.asarray(table["side"]), table["tried"].to_pylist()
+        found = []
+        for i in range(len(keys)):
+            open_ = (root != root[i]) & ((side == 2) | (side != side[i]))
+            open_[[at[k] for k in tried[i] or () if k in at]] = False
+            if most is None:
+                open_ &= rank > rank[i]
+                open_ &= ~(bands[:, :here] == bands[i, :here]).any(axis=1)
+            other = np.flatnonzero(open_)
             if not len(other):
                 continue
             agree = (regs[other] == regs[i]).mean(axis=1)
-            good = agree >= least
-            other, agree = other[good], agree[good]
-            order = np.lexsort((-agree, roots[other]))
-            other = other[order]
-            best = other[np.r_[True, roots[other][1:] != roots[other][:-1]]] if len(other) else other
-            found.update((min(keys[i], keys[j]), max(keys[i], keys[j])) for j in best)
-        found = sorted(found)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+            like = (agree - 1 / 16) / (1 - 1 / 16)  # four bits agree by chance once in 16
+            best = np.argsort(-like, kind="stable")[:most]
+            found += [(keys[i], keys[j]) for j in other[best[like[best] >= least]]]
+        return pa.table({"key": pa.array([x for x, _ in found], pa.binary()), "partner": pa.array([y for _, y in found], pa.binary())})
 
-    return across
+    return propose
 
 
-def _leftover(buckets: DataFrame, label: DataFrame, tried: DataFrame, block: int, threshold: float, m: int) -> DataFrame:
-    """Promising pairs across components in buckets that hold several, without those already compared."""
-    placed = buckets.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
+def _leftover(buckets: DataFrame, registers: DataFrame, label: DataFrame, asked: DataFrame, block: int, least: float, most: int | None) -> DataFrame:
+    """Proposals (key, partner) in buckets that hold several components."""
+    placed = buckets.join(label, "key", "left").select("h", "key", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     some = placed.join(mixed.select("h", "n"), "h")
+    tried = asked.groupBy("key").agg(F.collect_set("partner").alias("tried"))
+    some = some.join(registers.join(tried, "key", "left"), "key")
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("key"), parts).cast("int")
-    # a block meets itself and every other block once; a pair of blocks is a group of 2 * block rows
-    some = some.select("h", "key", "root", "registers", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    some = some.select("h", "key", "root", "registers", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
-    least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / m))
-    pairs = some.groupBy("h", "p", "q").applyInArrow(_across(block, least, m), "a binary, b binary").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    columns = ["h", "key", "root", "registers", "bands", "tried"]
+    # a block meets itself and every other block once; a pair of blocks is a group of about 2 * block rows
+    some = some.select(*columns, mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("int")
+    some = some.select(*columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), side.alias("side"))
+    return some.groupBy("h", "p", "q").applyInArrow(_propose(least, most), "key binary, partner binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, m: int = 128, band: int = 4, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, m: int = 512, bands: int = 32, band: int = 4, block: int = 512) -> DataFrame:
     """One row per row of `docs`: id, key (of its text), class_id, class_key, n_links.
 
     class_id is the smallest id in the class (null only if all its ids are null);
@@ -225,13 +242,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result; other columns of `docs` are not read.
 
     With 32 bands of 4 registers a pair of likeness 0.8 shares no bucket with
-    probability 5e-8.
+    probability 5e-8; 512 registers of 4 bits estimate it to 0.02.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    signed = written(rows.mapInArrow(_sign(k, m, band), "id long, key binary, bands array<long>, registers binary"), "signed")
-    each = signed.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("registers").alias("registers"))
-    spread = written(each.select("key", "registers", F.explode("bands").alias("h")).withColumn("low", F.min("key").over(Window.partitionBy("h"))).withColumn("high", F.max("key").over(Window.partitionBy("h"))).where("low < high"), "buckets")
-    texts = written(rows.join(spread.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    signed = written(rows.mapInArrow(_sign(k, m, bands, band), "id long, key binary, bands array<long>, registers binary"), "signed")
+    with_words = signed.where("bands is not null")
+    buckets = with_words.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("h"))
+    by_bucket = Window.partitionBy("h")
+    buckets = written(buckets.withColumn("low", F.min("key").over(by_bucket)).withColumn("high", F.max("key").over(by_bucket)).where("low < high").drop("high"), "buckets")
+    several = written(buckets.select("key").distinct(), "several")
+    # the same join at every size: a broadcast would only help small inputs
+    texts = written(rows.join(several.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    registers = with_words.select("key", "registers", "bands").join(several.hint("merge"), "key", "left_semi")
+    registers = written(registers.groupBy("key").agg(F.first("registers").alias("registers"), F.first("bands").alias("bands")), "registers")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # the side that may be hot (the smallest key of a large bucket) is joined while the rows are still small
@@ -239,20 +262,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
         return written(full.select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, threshold), "a binary, b binary, likeness double"), "verified")
 
-    tried = written(spread.where(F.col("key") != F.col("low")).select(F.col("low").alias("a"), F.col("key").alias("b")).distinct(), "tried")
+    least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / m))
+    asked = written(buckets.where(F.col("key") != F.col("low")).select("key", F.col("low").alias("partner")).distinct(), "asked")
+    tried = asked.select(F.col("partner").alias("a"), F.col("key").alias("b"))
     links = verified(tried)
     label = components(links)
-    buckets = spread.select("h", "key", "registers")
-    while True:
-        pairs = written(_leftover(buckets, label, tried, block, threshold, m), "tried")
-        if pairs.isEmpty():
+    for turn in count():
+        proposals = written(_leftover(buckets.select("h", "key"), registers, label, asked, block, least, None if turn else FIRST), "asked")
+        if proposals.isEmpty():
             break
+        pairs = proposals.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        asked, tried = asked.union(proposals), tried.union(pairs)
         more = verified(pairs)
-        tried = tried.union(pairs)
-        if more.isEmpty():
-            continue
-        links = links.union(more)
-        label = components(links)
+        if not more.isEmpty():
+            links = links.union(more)
+            label = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     named = signed.select("id", "key").join(label.join(degree, "key", "left"), "key", "left").select("id", "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = written(named, "classes")
