@@ -12,12 +12,16 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,54 +32,100 @@ SALTS = 1024
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: its own, or the next free one from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids
-    are those of its white-space chunks in turn; each distinct chunk is encoded once while it is
+    The vocabulary folds case and composition, then splits by a pattern that never joins
+    characters across white space; so a text's ids are those of its pieces in turn. Each
+    distinct white-space chunk and each distinct piece is encoded once while it is
     remembered. Texts with characters that the two notions of white space disagree on, or that
-    could hold a special token, go through the tokenizer whole.
+    could hold a special token, and all texts of a vocabulary of another shape, go through the
+    tokenizer whole.
     """
 
     def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.remembered = remembered
+        # chunks and folded pieces alike: the ids of a string as a text; when full, the last generation is still asked
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or any(s in t for s in self.specials) for t in texts]
-        chunks = [[] if o else t.split() for t, o in zip(texts, odd)]
-        if len(known) > self.remembered:
-            known.clear()
-        new = list({c for part in chunks for c in part if c not in known})
-        # case and composition are folded first: what is left to encode repeats far more often
-        folded: dict[str, bytes] = {}
-        low = [unicodedata.normalize("NFC", c).replace("Σ", "σ").lower() for c in new]
-        todo = list({x for x in low if x not in known})
-        for x, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            folded[x] = np.array(e.ids, "<u4").tobytes()
-        for c, x in zip(new, low):
-            known[c] = folded[x] if x in folded else known[x]
-        return [self._plain(t) if o else b"".join([known[c] for c in part]) for t, part, o in zip(texts, chunks, odd)]
-
-
-def _pieces(path: str, end: int, capacity: int, batch_texts: int = 256):
+        shape = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (shape["normalizer"] or {}).get("normalizers", [])]
+        splits = (shape["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.pattern = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["invert"] and splits[0]["behavior"] == "Removed":
+            self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
+        self.letters = byte_alphabet()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(self.known) >= self.remembered:
+            self.before, self.known = self.known, {}
+        self.known[text] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.before.get(piece)
+            if ids is None:
+                spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            self._keep(piece, ids)
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is not None:
+            return self._keep(chunk, ids)
+        folded = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        # letters alone, or before one other sign, are what the pattern makes of most chunks
+        if folded.isalpha():
+            out = self._piece(folded)
+            if folded == chunk:
+                return out
+        elif folded[-1] in ".,;:!?" and folded[:-1].isalpha():
+            out = self._piece(folded[:-1]) + self._piece(folded[-1])
+        else:
+            out = b"".join([self._piece(p) for p in self.pattern.findall(folded)])
+        return self._keep(chunk, out)
+
+    def __call__(self, text: str) -> bytes:
+        if self.pattern is None or any(c in text for c in "\x1c\x1d\x1e\x1f") or any(s in text for s in self.specials):
+            return self._whole(text)
+        make = self._chunk
+        return b"".join([self.known.get(c) or make(c) for c in text.split()])
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return Encoder(path)
+
+
+def _pieces(path: str, end: int, capacity: int, batch_texts: int = 1024):
     def cut(batches):
-        encode = Encoder(path)
-        tail = np.array([end], "<u4").tobytes()
+        encode = encoder(path)
+        tail = array("I", [end]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, batch_texts):
                 part = batch.slice(at, batch_texts)
                 rows = []
-                for i, ids in zip(part.column("id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()])):
-                    ids += tail
+                for i, text in zip(part.column("id").to_pylist(), part.column("text")):
+                    ids = encode(text.as_py() or "") + tail
                     n = len(ids) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
                         own = ids[4 * start : 4 * (start + capacity)]
