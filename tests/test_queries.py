@@ -37,7 +37,7 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     df = e.entry(spark)
-    assert df.count() == 150 and "__pc_row" in df.columns
+    assert df.count() == 1500 and "__pc_row" in df.columns
     assert set(q.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert all(callable(f) for f in e.queries().values())
 
