@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import textkit as K
+from tributary.llm.storage import written
 
 #: Word characters are ASCII letters and digits and all bytes of other letters.
 BETWEEN = np.array([not (chr(i).isalnum() or i >= 128) if i < 128 else False for i in range(256)])
@@ -66,17 +68,38 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -30, 30)))
 
 
-def select(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, width: int, least: int, most: int) -> np.ndarray:
-    """The columns most associated with toxic rows, by the signed likelihood ratio."""
-    inside = np.bincount(cols[toxic[rows]], minlength=width).astype(float)
-    outside = np.bincount(cols[~toxic[rows]], minlength=width).astype(float)
-    a, b = toxic.sum(), (~toxic).sum()
-    expected = (inside + outside) * a / (a + b)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (np.where(inside > 0, inside * np.log(inside / expected), 0) + np.where(outside > 0, outside * np.log(outside / (inside + outside - expected)), 0))
-    gain[(inside < least) | (inside / a <= 2 * outside / b)] = 0
-    best = np.argsort(-gain, kind="stable")[:most]
-    return np.sort(best[gain[best] > 10.83])
+def choose(sample: DataFrame, toxic: int, rest: int, least: int = 3, most: int = 1500) -> np.ndarray:
+    """The features most associated with toxic rows, by likelihood ratio: at most `most`, sorted.
+
+    Counts are grouped where the sample is; the driver gets the chosen hashes only.
+    """
+    each = sample.select((F.col("grade") > 0).cast("int").alias("toxic"), F.explode("features").alias("h"))
+    each = each.groupBy("h").agg(F.sum("toxic").alias("inside"), F.count("*").alias("n")).where(F.col("inside") >= least)
+    outside, expected = F.col("n") - F.col("inside"), F.col("n") * toxic / (toxic + rest)
+    gain = 2 * (F.col("inside") * F.log(F.col("inside") / expected) + F.when(outside > 0, outside * F.log(outside / (F.col("n") - expected))).otherwise(0))
+    found = each.withColumn("gain", gain).where((F.col("inside") / toxic > 2 * outside / rest) & (F.col("gain") > 10.83))
+    rows = found.orderBy(F.desc("gain"), "h").limit(most).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(K.U))
+
+
+def _restrict(hashes: np.ndarray):
+    """The chosen features of sampled rows, as places in `hashes`."""
+
+    def restrict(batches):
+        for batch in batches:
+            features, counts = batch.column("features"), batch.column("counts")
+            h = np.asarray(features.flatten()).view(K.U)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[place] == h
+            size = np.asarray(pc.fill_null(pc.list_value_length(features), 0))
+            row = np.repeat(np.arange(batch.num_rows), size)[hit]
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("grade"), pa.ListArray.from_arrays(edge, pa.array(place[hit].astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(np.asarray(counts.flatten())[hit]))],
+                names=["grade", "places", "counts"],
+            )
+
+    return restrict
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 0.05, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -105,32 +128,30 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 0.05,
     return z[:d], z[d] + np.concatenate([[0], np.cumsum(np.exp(z[d + 1 :]))])
 
 
-def fit(features: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, grades: int, graded: bool, least: int = 3, most: int = 1500) -> OrdinalModel:
-    """Fits on rows of distinct feature hashes with counts.
+def fit(sample: DataFrame, grades: int) -> OrdinalModel:
+    """Fits on rows of (grade, distinct feature hashes, counts).
 
-    With labels 0 and 1 only (not `graded`), documents labelled 1 get grades 1 to grades - 1 by thirds
-    of how many selected features they have.
+    With labels 0 and 1 only, documents labelled 1 get grades 1 to grades - 1 by thirds (for four
+    grades) of how many chosen features they have.
     """
     none = OrdinalModel(np.zeros(0, K.U), np.zeros(0), np.arange(grades - 1) + 4.0)
-    toxic = grade > 0
-    if not toxic.any() or toxic.all():
+    n = sample.agg(F.count("*").alias("n"), F.count(F.when(F.col("grade") > 0, 1)).alias("toxic"), F.max("grade").alias("top")).first()
+    if not n["toxic"] or n["toxic"] == n["n"]:
         return none
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    known, cols = np.unique(np.concatenate(features).astype(np.int64).view(K.U), return_inverse=True)
-    chosen = select(rows, cols, toxic, len(known), least, most)
-    if not len(chosen):
+    hashes = choose(sample, n["toxic"], n["n"] - n["toxic"])
+    if not len(hashes):
         return none
-    place = np.full(len(known), -1)
-    place[chosen] = np.arange(len(chosen))
-    own = place[cols] >= 0
-    x = np.zeros((len(features), len(chosen)), np.float32)
-    x[rows[own], place[cols[own]]] = np.log1p(np.concatenate(counts)[own])
-    if not graded:
-        strength = x.sum(axis=1)
+    data = sample.mapInArrow(_restrict(hashes), "grade int, places array<int>, counts array<int>").toPandas()
+    grade = np.clip(data["grade"].to_numpy(np.int64), 0, grades - 1)
+    x = np.zeros((len(data), len(hashes)), np.float32)
+    for i, (place, count) in enumerate(zip(data["places"], data["counts"])):
+        x[i, place] = np.log1p(count)
+    if n["top"] == 1:
+        strength, toxic = x.sum(axis=1), grade > 0
         cuts = np.quantile(strength[toxic], np.arange(1, grades - 1) / (grades - 1))
         grade = np.where(toxic, 1 + np.searchsorted(cuts, strength, "right"), 0)
     weights, thresholds = fit_ordinal(x, grade, grades)
-    return OrdinalModel(known[chosen], weights, thresholds)
+    return OrdinalModel(hashes, weights, thresholds)
 
 
 def _score(model: OrdinalModel, names: list[str]):
@@ -158,8 +179,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.orderBy(F.xxhash64("label_id"), "label_id", "grade").limit(sample)  # bounded: 12 bytes a row
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     seen = rows.join(F.broadcast(known), F.col("id") == F.col("label_id")).select("grade", "text")
-    data = seen.mapInArrow(_sample_features, "grade int, features array<long>, counts array<int>").toPandas()
-    grade = np.clip(data["grade"].to_numpy(np.int64), 0, grades - 1)
-    model = fit(list(data["features"]), list(data["counts"]), grade, grades, bool((grade > 1).any())) if len(data) else fit([], [], np.zeros(0, np.int64), grades, False)
+    model = fit(written(seen.mapInArrow(_sample_features, "grade int, features array<long>, counts array<int>"), "sample"), grades)
     scored = rows.mapInArrow(_score(model, ["id"]), "id long, exceed array<double>, severity double")
     return scored.select("id", "severity", F.round("severity").cast("int").alias("grade"), "exceed", (F.get("exceed", F.lit(0)) >= threshold).alias("toxic"))
