@@ -5,7 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
-from conftest import TABLES
+from tables import TABLES
 
 from tributary import queries as q
 
