@@ -50,7 +50,7 @@ def test_marks_by_brute_force(spark):
         tokens = pieces(text)
         grams = [tokens[j : j + k] for j in range(max(1, len(tokens) - k + 1))] if tokens else []
         if grams:
-            hashes = [r[0] & w.HASHES for r in spark.createDataFrame([(g,) for g in grams], "g array<string>").coalesce(1).select(F.xxhash64("g")).collect()]
+            hashes = [r[0] & w.HASHES for r in spark.createDataFrame([(g,) for g in grams], "g array<string>").coalesce(1).select(F.xxhash64(F.transform("g", lambda x: F.xxhash64(x)))).collect()]
         want = []
         for at in range(max(1, len(grams) - size + 1)) if grams else []:
             window = list(enumerate(hashes))[at : at + size]

@@ -8,9 +8,10 @@ Hash and position travel in one long: the upper 33 bits are the hash, the lower
 down with the position, so that the least long is the least hash furthest right. A text's
 marks are computed in its row, by array functions; nothing is exploded or shuffled for them.
 
-Neighbours: a document's next one is found inside a range of ids. Ranges come from
-percentiles of the ids; the first row of each range is copied to the range that it
-follows, so no sort spans the table.
+Neighbours: the keys alone (falling id, digest) are sorted over ranges, and one row a range tells
+which key is before its first. A document then sends the document before it the part of its text
+that the edit takes, and its marks. Texts move one and a half times; nothing about ranges is part
+of the plan or passes the driver.
 """
 
 from __future__ import annotations
@@ -19,22 +20,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm.storage import block_count, text_bytes
+from tributary.llm.storage import block_count, written
 
 POSITIONS = (1 << 31) - 1
 HASHES = ~POSITIONS
 
 
 def _with_marks(df: DataFrame, text: str, out: str, k: int, window: int) -> DataFrame:
-    """Adds the marks of column `text`: an empty array where the text has no words."""
+    """Adds the marks of column `text`: an empty array where the text has no words.
+
+    Words are hashed once. The least of each window comes from minima over 1, 2, 4, ... grams, so
+    its cost goes by the logarithm of the window. Each step is a column of its own, or Spark would
+    repeat it for each use.
+    """
     flat = F.trim(F.regexp_replace(text, r"[\x09-\x0D]+", " "))
-    df = df.withColumn("_words", F.array_remove(F.split(flat, " "), ""))
+    df = df.withColumn("_words", F.transform(F.array_remove(F.split(flat, " "), ""), lambda w: F.xxhash64(w)))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (k - 1), F.lit(1)))
     gram = lambda i: F.xxhash64(F.slice("_words", i, k)).bitwiseAND(F.lit(HASHES)).bitwiseOR((F.lit(POSITIONS) - i).cast("long"))
-    df = df.withColumn("_grams", F.transform(starts, gram))
-    ends = F.sequence(F.lit(1), F.greatest(F.size("_grams") - (window - 1), F.lit(1)))
-    least = F.array_distinct(F.transform(ends, lambda i: F.array_min(F.slice("_grams", i, window))))
-    return df.withColumn(out, F.when(F.size("_words") > 0, least).otherwise(F.array().cast("array<bigint>"))).drop("_words", "_grams")
+    df = df.withColumn("_least", F.transform(starts, gram))
+    n, span = F.greatest(F.size("_words") - (k - 1), F.lit(1)), 1
+    while span < window:
+        step = min(span, window - span)
+        # least() passes over the nulls that fill up the shorter side
+        df = df.withColumn("_least", F.zip_with("_least", F.slice("_least", 1 + step, n), lambda a, b: F.least(a, b)))
+        span += step
+    least = F.array_distinct(F.slice("_least", 1, F.greatest(n - (window - 1), F.lit(1))))
+    return df.withColumn(out, F.when(F.size("_words") > 0, least).otherwise(F.array().cast("array<bigint>"))).drop("_words", "_least")
 
 
 def mark_hash(mark: Column) -> Column:
@@ -64,6 +75,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], pairs.alias("marks"))
 
 
+def _before(places: DataFrame, key: list[str], row_bytes: int = 64) -> DataFrame:
+    """Distinct keys with `before`: key and n of the place before each in their order; the last place is before the first."""
+    parts = block_count(row_bytes * places.count())
+    ranged = written(places.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()), "order")
+    place = F.struct(*key, "n")
+    # a row a range
+    ends = ranged.groupBy("part").agg(F.max(place).alias("tail"))
+    every = Window.orderBy("part")
+    last = F.last("tail").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ends.select("part", F.coalesce(F.lag("tail").over(every), last).alias("tail"))
+    inside = F.lag(place).over(Window.partitionBy("part").orderBy(*key))
+    return ranged.withColumn("before", inside).join(ends, "part").select(*key, F.coalesce("before", "tail").alias("before"))
+
+
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, window: int = 16) -> DataFrame:
     """Fingerprints of each text, of its edited text, and how like they and the next text's are.
 
@@ -75,25 +100,25 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents of their own. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    ranges = block_count(text_bytes(docs, f"`{text_col}`"), least=1024, small_bytes=16 << 10)
-    bounds = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges).alias("b")).first()["b"]
-    bounds = sorted(set(bounds or []))
-    below = F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col("id"))
-    rows = rows.withColumn("range", F.size(below)).withColumn("tie", F.md5("text"))
-    heads = sorted((r["range"], r["head"]["id"], r["head"]["tie"]) for r in rows.groupBy("range").agg(F.max(F.struct("id", "tie")).alias("head")).collect())  # a row a range
-    spark = docs.sparkSession
-    # the head of a range comes after the last row of the next higher one; the highest head after the lowest range
-    follow = [(r, i, t, heads[(n + 1) % len(heads)][0]) for n, (r, i, t) in enumerate(heads)]
-    follow = spark.createDataFrame(follow, "range int, head_id long, head_tie string, follows int")
-    marked = _with_marks(rows, "text", "marks", k, window)
-    is_head = (F.col("id").eqNullSafe(F.col("head_id"))) & (F.col("tie") == F.col("head_tie"))
-    marked = marked.join(F.broadcast(follow), "range")
-    places = F.when(is_head, F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("copy")), F.struct(F.col("follows").alias("at"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("copy"))))
-    placed = marked.select("id", "text", "tie", "marks", F.explode(places).alias("place")).select("id", "text", "tie", "marks", "place.at", "place.copy")
-    w = Window.partitionBy("at").orderBy("copy", F.col("id").desc_nulls_last(), F.col("tie").desc())
-    pairs = placed.withColumn("next_text", F.lead("text").over(w)).withColumn("next_marks", F.lead("marks").over(w)).where("copy = 0")
-    edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, cast(length(text) div 2 as int))"))
-    pairs = pairs.select("id", "text", "marks", "next_marks", edited.alias("edited"))
+    # keys that go up where the order goes down; every digit of the digest is taken from 15
+    tie = F.translate(F.md5("text"), "0123456789abcdef", "fedcba9876543210")
+    key = ["none", "down", "tie"]
+    rows = rows.select(F.col("id").isNull().alias("none"), F.bitwise_not(F.coalesce("id", F.lit(0))).alias("down"), tie.alias("tie"), "text")
+    before = _before(rows.select(*key, F.length("text").alias("n")).distinct(), key)
+    # one exchange of texts and marks, read twice: as documents, and as those that follow one
+    dealt = _with_marks(rows, "text", "marks", k, window).repartition(*key)
+    take = F.expr("left(text, cast(before.n div 2 as int))")
+    following = dealt.join(before.hint("merge"), key).select(*[F.col(f"before.{c}").alias(c) for c in key], take.alias("next_text"), F.col("marks").alias("next_marks"))
+    # rows that repeat id and text follow each other; the last of them has the next document
+    alike = Window.partitionBy(*key).orderBy(*key)
+    following = following.withColumn("again", F.lag(F.lit(True)).over(alike)).where("again is null").drop("again")
+    own = dealt.withColumn("again", F.lag(F.lit(True)).over(alike).isNotNull())
+    pairs = own.join(following.hint("merge"), key)
+    tail = F.when(F.col("again"), F.expr("left(text, cast(length(text) div 2 as int))")).otherwise(F.col("next_text"))
+    edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), tail)
+    pairs = pairs.select(
+        F.when(~F.col("none"), F.bitwise_not("down")).alias("id"), "text", "marks", F.when(F.col("again"), F.col("marks")).otherwise(F.col("next_marks")).alias("next_marks"), edited.alias("edited")
+    )
     pairs = _with_marks(pairs, "edited", "edited_marks", k, window)
     for c in ("marks", "next_marks", "edited_marks"):
         pairs = pairs.withColumn(f"{c}_h", F.transform(c, mark_hash))
