@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.storage import shared_dir
+from tributary.llm.storage import shared_dir, written
 
 CRLF = "\r\n"
 DIGITS = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
@@ -31,7 +31,10 @@ RECORD_ARROW = pa.schema(
 
 def sha1_base32(binary: Column) -> Column:
     """Upper-case base32 SHA-1: ten hex digits are eight base32 digits."""
-    h = F.sha1(binary)
+    return _base32(F.sha1(binary))
+
+
+def _base32(h: Column) -> Column:
     return F.translate(F.concat(*[F.lpad(F.conv(F.substring(h, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31)]), *DIGITS)
 
 
@@ -53,27 +56,41 @@ def _one_line(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20")
 
 
-def decide_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds `_digest`, `_type` and `_response`: the id of the response with the same payload.
+def decide_revisits(keys: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(_digest, _id, _bytes) rows to one row per digest and id, with `_type` and `_response`, the id of the response with the same payload.
 
     Of payloads equal in digest, of `least_bytes` at least, the largest id is response. Rows that
-    repeat that id and payload are responses too. Only digests and ids are grouped.
+    repeat that id and payload are responses too. A digest that many pages share is joined in rows
+    of three small columns, never with payloads.
     """
-    largest = pages.groupBy("_digest").agg(F.max("_id").alias("_largest"))
-    joined = pages.join(largest, "_digest")
-    same = F.col("_id").eqNullSafe(F.col("_largest"))
-    revisit = ~same & (F.octet_length("_payload") >= least_bytes)
-    return joined.withColumn("_type", F.when(revisit, "revisit").otherwise("response")).withColumn("_response", F.when(revisit, F.col("_largest")))
+    once = keys.groupBy("_digest", "_id").agg(F.first("_bytes").alias("_bytes"))
+    largest = keys.groupBy("_digest").agg(F.max("_id").alias("_largest"))
+    revisit = ~F.col("_id").eqNullSafe(F.col("_largest")) & (F.col("_bytes") >= least_bytes)
+    return once.join(largest, "_digest").select("_digest", "_id", F.when(revisit, "revisit").otherwise("response").alias("_type"), F.when(revisit, F.col("_largest")).alias("_response"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, records_per_file: int = 6000) -> None:
+def write_warc(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, file_bytes: int = 32 << 20, records_per_file: int | None = None
+) -> None:
     """Writes gzipped archives: three records per row of `pages`, next to each other.
 
     The payload is string or binary; null is empty. Null ids are written as absent and count as
-    smaller than any other id. `records_per_file` bounds an archive, and so what a reader holds.
+    smaller than any other id. An archive holds about `file_bytes` of payloads, as pages come in the
+    order of a hash and it ends after as many as hold that much on average; `records_per_file` sets
+    the number instead.
     """
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{url_col}`").alias("_url"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("_payload"))
-    rows = decide_revisits(rows.withColumn("_digest", sha1_base32(F.col("_payload"))), least_bytes)
+    payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{url_col}`").alias("_url"), payload.alias("_payload"))
+    rows = rows.withColumn("_digest", F.unhex(F.sha1("_payload")))
+    keys = written(rows.select("_digest", "_id", F.octet_length("_payload").alias("_bytes")), "keys")
+    if records_per_file is None:
+        mean = keys.agg(F.avg("_bytes")).first()[0] or 0
+        records_per_file = 3 * max(1, int(file_bytes / (mean + 1024)))
+    # payloads move by digest and id, which no two pages share
+    known = [F.col("_digest"), F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_known")]
+    decided = decide_revisits(keys, least_bytes).select(*known, "_type", "_response")
+    rows = rows.select(*known, "_id", "_url", "_payload").join(decided.hint("merge"), ["_digest", "_none", "_known"])
+    rows = rows.withColumn("_digest", _base32(F.lower(F.hex("_digest"))))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     ids = {kind: _uuid(F.lit(kind), F.col("_id"), F.col("_row"), F.col("_digest")) for kind in ("capture", "request", "metadata")}
     url = _one_line(F.col("_url"))
@@ -92,7 +109,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     facts = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("_id").cast("string"), F.lit(CRLF)), F.lit("")), F.coalesce(F.concat(F.lit("same-payload-as: "), F.col("_response").cast("string"), F.lit(CRLF)), F.lit("")))
     metadata = _record("metadata", [("WARC-Record-ID", ids["metadata"]), ("WARC-Concurrent-To", ids["capture"]), *same, ("Content-Type", F.lit("application/warc-fields"))], facts)
     lines = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    lines.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _parse(data: bytes):
@@ -187,14 +204,18 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, id_col, url_col, payload_col, **options)
-    captures = assemble(read_warc(spark, path, with_payload))
+    # parsed once for all joins; payloads are read where they are returned
+    captures = assemble(written(read_warc(spark, path, False), "records"))
     flat = captures.select(
         fact(F.col("metadata"), "page-id").cast("long").alias("id"), F.col("response.target_uri").alias("url"), F.col("response.record_type").alias("record_type"),
         F.col("response.payload_digest").alias("named_digest"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.computed_digest").alias("payload_digest"),
-        F.col("response.payload").alias("payload"), fact(F.col("metadata"), "same-payload-as").cast("long").alias("refers_to"),
+        F.col("response.record_id").alias("record_id"), fact(F.col("metadata"), "same-payload-as").cast("long").alias("refers_to"),
     )
     responses = flat.where("record_type = 'response'")
     revisits = flat.where("record_type = 'revisit'").select("id", "url", "record_type", "named_digest", "refers_to")
+    if with_payload:
+        payloads = read_warc(spark, path).where("record_type = 'response'").select("record_id", "payload")
+        responses = responses.join(payloads, "record_id")
     full = responses.select("named_digest", F.col("id").alias("refers_to"), "payload_bytes", "payload_digest", *(["payload"] if with_payload else [])).dropDuplicates(["named_digest", "refers_to"])
     resolved = revisits.join(full, ["named_digest", "refers_to"], "left")
     columns = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]
