@@ -11,6 +11,7 @@ import pytest
 
 from tributary.errors import Conflicted, Refusal
 from tributary.examples import create
+from tributary.operators.align import converge
 from tributary.operators.feasibility import plan
 from tributary.operators.origin import lookup_origin, render, verify_dataset
 from tributary.operators.publish import apply, read_dataset, rewrite
@@ -19,7 +20,7 @@ from tributary.plans.decisions import approve, load_resolutions, template
 from tributary.plans.decisions import render as render_plan
 from tributary.plans.documents import canonical
 from tributary.plans.records import Limits, Part, Resolution
-from tributary.sources.parquet import sha256_file
+from tributary.sources.parquet import in_place, sha256_file, unchanged
 
 
 def put(root, *tables):
@@ -57,6 +58,10 @@ def test_union_case(spark, tmp_path):
     assert report.verified, report
     assert dict(report.counters)["values"] == (4 + 2) + 4 + (4 + 2) + (4 + 2)
     rows = [pq.read_table(out / p.filename).to_pylist() for p in parts]
+    for size in (1, 3, 7):
+        small = verify(spark, approved, paths, out, parts, batch_rows=size)
+        assert small.verified and small.counters == report.counters
+    assert not verify(spark, approved, paths, out, parts, batch_rows=0).verified
     assert [tuple(r.values()) for r in rows[0]] == [(None, None, {"x": 2, "y": None}, 1, 0, 0), (None, None, None, 3, 0, 1), (None, None, {"x": None, "y": None}, 4, 0, 2)]
     assert [tuple(r.values()) for r in rows[1]] == [(6, 7, {"x": 8, "y": 9}, 10, 1, 0)]
     schema = pq.read_schema(out / parts[0].filename)
@@ -296,3 +301,35 @@ def test_fields_and_files_caps(spark, tmp_path):
     wide = put(root, pa.table({f"c{i}": [i] for i in range(513)}))
     assert plan(spark, root, wide).status == "LIMIT_EXCEEDED"
     assert plan(spark, root, [f"f{i}.parquet" for i in range(129)]).status == "LIMIT_EXCEEDED"
+
+
+def test_sources_where_they_are(spark, tmp_path):
+    """The same plan without private copies; caps, missing and equal files refuse as there."""
+    root = tmp_path / "in"
+    names = put(root, *union_case())
+    p = plan(spark, f"file://{root}", names, where_they_are=True)
+    copied = plan(spark, root, names)
+    assert (p.status, p.sources, p.proposal, p.counters) == (copied.status, copied.sources, copied.proposal, copied.counters)
+    assert plan(spark, f"file://{root}", ["no.parquet"], where_they_are=True).status == "INCOMPLETE"
+    assert plan(spark, f"file://{root}", names, Limits(max_input_bytes=10), where_they_are=True).status == "LIMIT_EXCEEDED"
+    assert plan(spark, f"file://{root}", names, Limits(max_files=1), where_they_are=True).status == "LIMIT_EXCEEDED"
+    copies, marks = in_place(spark, str(root), names, Limits())
+    unchanged(spark, copies, marks)
+    with open(root / names[0], "ab") as file:
+        file.write(b"x")
+    with pytest.raises(Refusal):
+        unchanged(spark, copies, marks)
+    with pytest.raises(Conflicted):
+        in_place(spark, str(root), names, Limits(), p.sources)
+
+
+def test_many_alike_sources(spark, tmp_path):
+    """Sources of one schema read together give the rows that branches give, with their own coordinates."""
+    tables = [pa.table({"x": pa.array(range(i, i + 5), pa.int32()), "s": [{"a": j} for j in range(5)]}) for i in range(0, 100, 5)] + [pa.table({"x": pa.array([7], pa.int64())})]
+    root = tmp_path / "in"
+    p = plan(spark, root, put(root, *tables))
+    assert p.status == "READY_FOR_REVIEW" and p.counters[1] == 101
+    df = converge(spark, p.sources, [str(root / s.relative_path) for s in p.sources], p.proposal)
+    got = sorted((r["__pc_source"], r["__pc_row"], r["x"], r["s"] and r["s"]["a"]) for r in df.collect())
+    assert got == [(i, j, 5 * i + j, j) for i in range(20) for j in range(5)] + [(20, 0, 7, None)]
+    assert str(df._jdf.queryExecution().executedPlan()).split("Initial Plan")[0].count("FileScan") == 2

@@ -7,6 +7,7 @@ nulls and prunes the branches of sources that a query doesn't ask for.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tributary.functions.exact import decimal_text, factor
 from tributary.plans.records import Proposal, Source
 from tributary.plans.types import ROW, SOURCE, Field, Type, readable, to_spark, wide
-from tributary.sources.parquet import child, quoted, scan
+from tributary.sources.parquet import child, quoted, scan, scan_alike
 
 
 def nulls(want: Type) -> Column:
@@ -46,7 +47,24 @@ def align(df: DataFrame, have: tuple[Field, ...], want: tuple[Field, ...]) -> Da
     return df.select(*columns, SOURCE, ROW)
 
 
+#: From so many sources of one footer on, they are one read: a plan of thousands of branches would stop the driver.
+ALIKE = 16
+
+
 def converge(spark: SparkSession, sources: tuple[Source, ...], paths: list[str], proposal: Proposal) -> DataFrame:
-    """All sources as one DataFrame in the target schema, with __pc_source and __pc_row."""
-    frames = [align(scan(spark, path, s.source_id, s.fields), s.fields, proposal.fields) for s, path in zip(sources, paths)]
+    """All sources as one DataFrame in the target schema, with __pc_source and __pc_row.
+
+    Sources whose columns are the same are read together where there are many of them; the others
+    are branches of their own, which Catalyst drops where a query doesn't ask for their source.
+    """
+    groups: dict[tuple, list[tuple[Source, str]]] = {}
+    for s, path in zip(sources, paths):
+        groups.setdefault(tuple((f.name, f.type) for f in s.fields), []).append((s, path))
+    frames = []
+    for members in groups.values():
+        have, names = members[0][0].fields, {p.rsplit("/", 1)[-1] for _, p in members}
+        if len(members) >= ALIKE and len(names) == len(members) and all(re.fullmatch(r"[\w.-]+", n, re.ASCII) for n in names):
+            frames.append(align(scan_alike(spark, [p for _, p in members], [s.source_id for s, _ in members], have), have, proposal.fields))
+        else:
+            frames += [align(scan(spark, p, s.source_id, s.fields), s.fields, proposal.fields) for s, p in members]
     return reduce(DataFrame.unionByName, frames)

@@ -13,13 +13,13 @@ from pyspark.sql import types as S
 
 from tributary.errors import Incompatible, LimitExceeded, Refusal, status_of
 from tributary.functions.exact import factor, tick_bounds
-from tributary.operators.align import align
+from tributary.operators.align import converge
 from tributary.plans.documents import canonical
 from tributary.plans.lattice import propose
 from tributary.plans.records import Limits, Plan, Proposal, Source, check_identifier, diagnostic
 from tributary.plans.types import ROW, SOURCE, Field, readable, schema_to_arrow
 from tributary.session import exact
-from tributary.sources.parquet import child, inventory, quoted, scan, snapshot
+from tributary.sources.parquet import child, in_place, inventory, quoted, scan, snapshot, unchanged
 
 VIOLATION = "__pc_source int, __pc_row long, path string, tick long, factor long"
 
@@ -81,26 +81,37 @@ def check_writable(proposal: Proposal) -> None:
 
 
 def feasible(spark: SparkSession, sources: tuple[Source, ...], paths: list[str], proposal: Proposal, limits: Limits) -> int:
-    """Runs every cast over every row and gives the number of rows; a value that doesn't fit refuses."""
+    """Runs every cast over every row and gives the number of rows; a value that doesn't fit refuses.
+
+    One pass over the columns that are rescaled, one over all: the rows of each source are counted
+    by the job that runs the casts.
+    """
     first = violations(spark, sources, paths, proposal).orderBy(SOURCE, ROW, "path").limit(1).collect()
     if first:
         v = first[0]
         raise Incompatible(f"timestamp multiplication overflow at {v['path']}: source={v[SOURCE]} row={v[ROW]} ticks {v['tick']}, factor {v['factor']}")
     check_writable(proposal)
-    for s, p in zip(sources, paths):
-        align(scan(spark, p, s.source_id, s.fields), s.fields, proposal.fields).write.format("noop").mode("overwrite").save()
-    total = 0
-    for r in row_counts(spark, sources, paths).collect():  # a row per source
-        if r["n"] != r["declared"]:
-            raise Refusal(f"source={r[SOURCE]} has {r['n']} rows, its footer declares {r['declared']}", "ERROR")
-        total += r["n"]
+    rows = converge(spark, sources, paths, proposal)
+    # a hash of all columns, so that none of the casts can be dropped
+    values = [F.xxhash64(*[F.col(quoted(f.name)) for f in proposal.fields])] if proposal.fields else [F.lit(0)]
+    counted = rows.groupBy(SOURCE).agg(F.count("*").alias("n"), F.bit_xor(values[0]).alias("h"))
+    found = {r[SOURCE]: r["n"] for r in counted.collect()}  # a row per source
+    for s in sources:
+        if found.get(s.source_id, 0) != s.num_rows:
+            raise Refusal(f"source={s.source_id} has {found.get(s.source_id, 0)} rows, its footer declares {s.num_rows}", "ERROR")
+    total = sum(found.values())
     if total > limits.max_rows:
         raise LimitExceeded(f"max_rows: {total}, the limit is {limits.max_rows}")
     return total
 
 
-def plan(spark: SparkSession, root: Path, identifiers: list[str], limits: Limits | None = None) -> Plan:
-    """A reviewable plan, or one whose status says why not. Nothing is written outside a private folder."""
+def plan(spark: SparkSession, root: Path | str, identifiers: list[str], limits: Limits | None = None, where_they_are: bool = False) -> Plan:
+    """A reviewable plan, or one whose status says why not. Nothing is written outside a private folder.
+
+    Sources are copied to a private folder first, as the contract wants it of files that others may
+    change. `where_they_are` reads them in place instead, from any store that Spark reads: hashes and
+    rows by tasks, footers by a few small reads, and a source that changed meanwhile refuses.
+    """
     limits = limits or Limits()
     exact(spark)
     sources: tuple[Source, ...] = ()
@@ -111,13 +122,15 @@ def plan(spark: SparkSession, root: Path, identifiers: list[str], limits: Limits
         if len(set(identifiers)) < len(identifiers):
             raise Refusal("a source is named twice")
         with tempfile.TemporaryDirectory(prefix="tributary-plan-") as staging:
-            copies = snapshot(Path(root), identifiers, Path(staging), limits)
+            copies, marks = in_place(spark, str(root), identifiers, limits) if where_they_are else (snapshot(Path(root), identifiers, Path(staging), limits), None)
             size = sum(c.size for c in copies)
             counters = (len(copies), 0, size)
-            sources = inventory(copies, limits)
+            sources = inventory(copies, limits, spark if where_they_are else None)
             proposal = propose(sources)
             Plan("INCOMPLETE", sources, proposal, limits=limits)  # the target's caps, before any row is read
             rows = feasible(spark, sources, [str(c.path) for c in copies], proposal, limits)
+            if marks is not None:
+                unchanged(spark, copies, marks)
             counters = (len(copies), rows, size)
             return Plan("NEEDS_DECISIONS" if proposal.conflicts else "READY_FOR_REVIEW", sources, proposal, True, limits, counters=counters)
     except (Exception, KeyboardInterrupt) as error:

@@ -9,6 +9,7 @@ both sides; every observation of a row is one generated expression.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from tributary.errors import Conflicted, Incomplete, LimitExceeded, Unsupported, status_of
+from tributary.errors import Conflicted, Incomplete, LimitExceeded, Refusal, Unsupported, status_of
 from tributary.functions.exact import decimal_text, same_float
 from tributary.operators.derive import derive
-from tributary.plans.documents import canonical, digest
+from tributary.plans.documents import canonical, check_int, digest
 from tributary.plans.records import Approved, Limits, Part, Proposal, Report, Source, diagnostic, runtime
 from tributary.plans.types import ROW, SOURCE, Field, Type, field_from_arrow, to_scan
 from tributary.session import exact
@@ -31,6 +32,7 @@ from tributary.sources.parquet import footer, quoted, scan, sha256_file
 
 CONTROL = ("_decision.json", "_manifest.json", "_verification.json")
 SECONDS = {"s": 0, "ms": 3, "us": 6, "ns": 9}
+#: The reasons that reports give for an observation.
 NO_NULL, NULL_WANTED, DIFFERS, PROVENANCE, OVERFLOW = "unexpected null observation", "expected null observation", "logical value differs", "provenance value differs", "expected timestamp ticks overflow int64"
 PROVENANCE_FIELDS = (pa.field(SOURCE, pa.uint32(), nullable=False), pa.field(ROW, pa.uint64(), nullable=False))
 
@@ -118,7 +120,7 @@ def compare(source: DataFrame, have: tuple[Field, ...], output: DataFrame, want:
     `place` is the position of the observation in target order; rows that one side lacks have -1.
     """
     joined, found = _paired(source, have, output, want, key)
-    alone = F.when(F.col("s_row").isNull() | F.col("o_row").isNull(), F.struct(F.lit(-1).alias("place"), F.lit("[]").alias("path"), F.lit("source/output stream lengths differ").alias("reason")))
+    alone = F.when(F.col("s_row").isNull() | F.col("o_row").isNull(), F.struct(F.lit(-1).alias("place"), F.lit("[]").alias("path"), F.lit("one side has no such row").alias("reason")))
     faults = [F.when(F.col("s_row").isNotNull() & F.col("o_row").isNotNull() & leaf.wrong.isNotNull(), F.struct(F.lit(i).alias("place"), F.lit(canonical(list(leaf.path)).decode()).alias("path"), leaf.wrong.alias("reason"))) for i, leaf in enumerate(found)]
     rows = joined.select(F.lit(source_id).alias(SOURCE), F.coalesce("s_row", "o_row").alias(ROW), F.explode(F.array_compact(F.array(alone, *faults))).alias("f"))
     return rows.select(SOURCE, ROW, "f.place", "f.path", "f.reason")
@@ -154,23 +156,23 @@ def check_part_schema(path: Path, proposal: Proposal, source_id: int) -> int:
     with pq.ParquetFile(path, arrow_extensions_enabled=False, pre_buffer=False) as file:
         schema, rows = file.schema_arrow, file.metadata.num_rows
     if schema.names != [f.name for f in proposal.fields] + [SOURCE, ROW]:
-        fail([], "output schema field order/names differ")
+        fail([], "columns differ in name or order")
     for f in PROVENANCE_FIELDS:
         if not schema.field(f.name).equals(f, check_metadata=False) or schema.field(f.name).metadata:
-            fail([f.name], "provenance schema differs")
+            fail([f.name], "a coordinate column has another type, nullability or metadata")
     if tuple(sorted((schema.metadata or {}).items())) != proposal.schema_metadata:
-        fail([], "output schema metadata differs")
+        fail([], "the part's schema carries other metadata than the target")
 
     def check(have: tuple[Field, ...], want: tuple[Field, ...], at: list[str]) -> None:
         if [f.name for f in have] != [f.name for f in want]:
-            fail(at, "output schema child order/names differ")
+            fail(at, "fields of a struct differ in name or order")
         for h, w in zip(have, want):
             if (h.nullable, h.metadata) != (w.nullable, w.metadata):
-                fail([*at, w.name], "output schema nullability/metadata differs")
+                fail([*at, w.name], "nullability or metadata isn't the target's")
             if h.type.kind == w.type.kind == "struct":
                 check(h.type.fields, w.type.fields, [*at, w.name])
             elif h.type != w.type:
-                fail([*at, w.name], "output schema type differs")
+                fail([*at, w.name], "the type isn't the target's")
 
     check(tuple(field_from_arrow(schema.field(i)) for i in range(len(proposal.fields))), proposal.fields, [])
     return rows
@@ -194,7 +196,7 @@ def check_files(dataset: Path, parts: list[Part], limits: Limits, control: bool)
 def check_bytes(dataset: Path, parts: list[Part]) -> None:
     for p in parts:
         if sha256_file(dataset / p.filename) != (p.bytes, p.sha256):
-            raise Conflicted(f"source={p.source_id} output bytes/hash differ")
+            raise Conflicted(f"source={p.source_id} the part's bytes aren't those recorded")
 
 
 def source_digest(sources: tuple[Source, ...]) -> str:
@@ -210,8 +212,31 @@ def refusal(status: str, error, approved: Approved | None) -> Report:
     return Report(status, approved.plan.digest if approved else "", approved.digest if approved else "", diagnostics=(diagnostic(error),))
 
 
-def verify(spark: SparkSession, approved: Approved, source_paths: list[Path], dataset: Path, parts: list[Part], control: bool = False) -> Report:
-    """Everything afresh: sources, derived schema, parts' bytes and footers, coordinates, every observation."""
+@contextmanager
+def reading(spark: SparkSession, batch_rows: int | None):
+    """Scans within take batches of so many rows; what they give doesn't depend on it."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    if batch_rows is not None:
+        spark.conf.set(name, batch_rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def verify(spark: SparkSession, approved: Approved, source_paths: list[Path], dataset: Path, parts: list[Part], control: bool = False, batch_rows: int | None = None) -> Report:
+    """Everything afresh: sources, derived schema, parts' bytes and footers, coordinates, every observation.
+
+    `batch_rows` makes reads smaller, never larger than the plan's limit.
+    """
+    if batch_rows is not None:
+        try:
+            check_int(batch_rows, "batch_rows", 1, approved.plan.limits.batch_rows)
+        except Refusal as error:
+            return refusal(status_of(error), error, approved)
+        with reading(spark, batch_rows):
+            return verify(spark, approved, source_paths, dataset, parts, control)
     exact(spark)
     try:
         plan, dataset = approved.plan, Path(dataset).absolute()
@@ -225,14 +250,14 @@ def verify(spark: SparkSession, approved: Approved, source_paths: list[Path], da
             if not Path(path).exists():
                 raise Incomplete(f"source {s.relative_path!r} doesn't exist")
             if sha256_file(path) != (s.size_bytes, s.sha256):
-                raise Conflicted(f"source={s.source_id} bytes/hash differ from the plan's")
+                raise Conflicted(f"source={s.source_id} the file isn't the one that was planned")
             columns, pairs, rows = footer(str(path))
             actual.append(Source(s.source_id, s.relative_path, s.sha256, s.size_bytes, rows, columns, pairs))
         if tuple(actual) != plan.sources or derive(tuple(actual)) != plan.proposal:
-            raise Conflicted("independently derived schema/operations/conflicts differ from approved proposal")
+            raise Conflicted("the sources as they are lead to another target than the approved one")
         expected = plan.proposal
         if [p.source_id for p in parts] != [s.source_id for s in plan.sources]:
-            raise Conflicted("part inventory differs from the exact ordered source inventory")
+            raise Conflicted("there isn't one part for each source, in their order")
         check_files(dataset, parts, plan.limits, control)
         check_bytes(dataset, parts)
         values, faults = 0, []
@@ -240,7 +265,7 @@ def verify(spark: SparkSession, approved: Approved, source_paths: list[Path], da
             at = dataset / part.filename
             rows = check_part_schema(at, expected, s.source_id)
             if part.target_schema_digest != expected.schema_digest or not rows == part.rows == s.num_rows:
-                raise Conflicted(f"source={s.source_id} part row count/target schema differs")
+                raise Conflicted(f"source={s.source_id} the part has other rows or another target than recorded")
             if not s.num_rows:
                 continue
             source = scan(spark, str(path), s.source_id, s.fields)

@@ -8,6 +8,7 @@ decimals) are read in the engine's own types.
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import shutil
 import stat
@@ -30,8 +31,45 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def footer(path: str) -> tuple[tuple[Field, ...], tuple, int]:
-    """(fields, schema metadata, rows) of a file, from its footer only."""
+class HadoopFile(io.RawIOBase):
+    """A file of any store that Spark reads, for a few small random reads on the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.size, self.place = store.getFileStatus(at).getLen(), 0
+        self.stream, self.utils = store.open(at), jvm.org.apache.commons.io.IOUtils
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.place
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.place = offset + (0, self.place, self.size)[whence]
+        return self.place
+
+    def read(self, n: int = -1) -> bytes:
+        n = self.size - self.place if n is None or n < 0 else min(n, self.size - self.place)
+        if n <= 0:
+            return b""
+        self.stream.seek(self.place)
+        raw = bytes(self.utils.toByteArray(self.stream, n))
+        self.place += n
+        return raw
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
+def footer(path) -> tuple[tuple[Field, ...], tuple, int]:
+    """(fields, schema metadata, rows) of a file (a local path or an open file), from its footer only."""
     with pq.ParquetFile(path, arrow_extensions_enabled=False, pre_buffer=False) as file:
         schema = file.schema_arrow
         if schema.metadata and any(k.startswith(b"ARROW:extension:") for k in schema.metadata):
@@ -85,7 +123,7 @@ class Copy:
     """A private copy of a source: what was hashed is what is read."""
 
     identifier: str
-    path: Path
+    path: Path | str
     size: int
     sha256: str
 
@@ -130,19 +168,68 @@ def snapshot(root: Path, identifiers: list[str], staging: Path, limits: Limits,
     return copies
 
 
-def inventory(copies: list[Copy], limits: Limits) -> tuple[Source, ...]:
-    """Footers of all copies, refused as soon as the sums pass a cap."""
+def inventory(copies: list[Copy], limits: Limits, spark: SparkSession | None = None) -> tuple[Source, ...]:
+    """Footers of all copies, refused as soon as the sums pass a cap; through Spark's own stores if it is given."""
     out: list[Source] = []
     for i, copy in enumerate(copies):
-        columns, pairs, rows = footer(str(copy.path))
+        columns, pairs, rows = footer(str(copy.path) if spark is None else HadoopFile(spark, str(copy.path)))
         out.append(Source(i, copy.identifier, copy.sha256, copy.size, rows, columns, pairs))
         check_inventory(tuple(out), limits)
     return tuple(out)
 
 
 def hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, length, sha256) of files of up to 2 GB by Spark, one task per file."""
-    return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, changed, sha256) of files of up to 2 GB in any store, one row of a task per file."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("changed"), F.sha2("content", 256).alias("sha256"))
+
+
+def in_place(spark: SparkSession, root: str, identifiers: list[str], limits: Limits, expected: tuple[Source, ...] = ()) -> tuple[list[Copy], list[tuple]]:
+    """Sources read where they are, in any store: sizes and hashes by tasks, nothing copied.
+
+    Also gives what `unchanged` compares after the last read; the caps on files and bytes hold as
+    for private copies.
+    """
+    if len(identifiers) > limits.max_files:
+        raise LimitExceeded(f"max_files: {len(identifiers)}, the limit is {limits.max_files}")
+    root = root.rstrip("/")
+    paths = [f"{root}/{check_identifier(i)}" for i in identifiers]
+    copies, marks = [], []
+    found = _states(spark, paths)
+    if sum(size for size, _, _ in found) > limits.max_input_bytes:
+        raise LimitExceeded(f"max_input_bytes: the limit is {limits.max_input_bytes}")
+    by_path = {r["path"]: r["sha256"] for r in hashes(spark, paths).collect()}  # a row per file
+    for i, path, (size, changed, full) in zip(identifiers, paths, found):
+        if full not in by_path:
+            raise Refusal(f"source {i!r} can't be hashed", "ERROR")
+        copies.append(Copy(i, path, size, by_path[full]))
+        marks.append((size, changed))
+    if len({f for *_, f in found}) < len(found):
+        raise Refusal("a source is another source's file", "ERROR")
+    for copy, source in zip(copies, expected):
+        if (copy.identifier, copy.size, copy.sha256) != (source.relative_path, source.size_bytes, source.sha256):
+            raise Conflicted(f"source {copy.identifier!r} isn't the one in the plan")
+    return copies, marks
+
+
+def _states(spark: SparkSession, paths: list[str]) -> list[tuple[int, int, str]]:
+    """(bytes, time of change, full path) of regular files."""
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(at):
+            raise Incomplete(f"{path} doesn't exist")
+        state = store.getFileStatus(at)
+        if not state.isFile():
+            raise Refusal(f"{path} isn't a regular file", "ERROR")
+        out.append((state.getLen(), state.getModificationTime(), state.getPath().toString()))
+    return out
+
+
+def unchanged(spark: SparkSession, copies: list[Copy], marks: list[tuple]) -> None:
+    for copy, mark, (size, changed, _) in zip(copies, marks, _states(spark, [str(c.path) for c in copies])):
+        if (size, changed) != mark:
+            raise Refusal(f"source {copy.identifier!r} changed while it was read", "ERROR")
 
 
 def scan(spark: SparkSession, path: str, source_id: int, columns: tuple[Field, ...]) -> DataFrame:
@@ -157,6 +244,16 @@ def scan(spark: SparkSession, path: str, source_id: int, columns: tuple[Field, .
     return df.select(*[F.col(quoted(f.name)) for f in schema], F.lit(source_id).alias(SOURCE), position.alias(ROW))
 
 
+def scan_alike(spark: SparkSession, paths: list[str], source_ids: list[int], columns: tuple[Field, ...]) -> DataFrame:
+    """`scan` of several files of one footer as one read: the source comes from the file's name by a join with a row per file."""
+    schema = S.StructType([S.StructField(f.name, to_scan(f.type), True) for f in columns if readable(f.type)])
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+    known = spark.createDataFrame(list(zip(names, source_ids)), f"__pc_name string, {SOURCE} int")
+    df = spark.read.schema(schema).parquet(*paths)
+    df = df.select(*[F.col(quoted(f.name)) for f in schema], F.col("_metadata.file_name").alias("__pc_name"), F.col("_metadata.row_index").alias(ROW))
+    return df.join(F.broadcast(known), "__pc_name").select(*[F.col(quoted(f.name)) for f in schema], SOURCE, ROW)
+
+
 def child(column: Column, name: str) -> Column:
     return column.getField(name)
 
