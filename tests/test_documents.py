@@ -72,3 +72,51 @@ def test_statuses_of_errors():
     assert status_of(ValueError("[CAST_OVERFLOW] no")) == "DATA_INCOMPATIBLE"
     assert status_of(ValueError("?")) == "ERROR"
     assert status_of(KeyboardInterrupt()) == "CANCELLED"
+
+
+def test_raw_caps():
+    """A hostile plan is refused by its raw counts, before records are made of it."""
+    from tributary.errors import LimitExceeded
+    from tributary.plans.records import Limits, raw_caps
+
+    def nested(levels):
+        kind = {"kind": "int", "bits": 8}
+        for _ in range(levels):
+            kind = {"kind": "struct", "fields": [{"name": "x", "type": kind, "nullable": True, "metadata": []}]}
+        return kind
+
+    field = lambda kind={"kind": "int"}, metadata=(): {"name": "x", "type": kind, "nullable": True, "metadata": list(metadata)}
+    source = lambda **more: {"fields": [], "schema_metadata": [], "num_rows": 1, "size_bytes": 1} | more
+    target = lambda **more: {"fields": [], "schema_metadata": [], "operations": [], "conflicts": []} | more
+    plan = lambda sources=(), proposal=None, **counters: {"sources": list(sources), "proposal": proposal, "preflight_counters": counters}
+    limits = Limits(max_files=2, max_rows=10, max_input_bytes=10, max_fields=3, max_depth=2, max_metadata_bytes=12)
+    big = [["AAAAAAAA", "AAAAAAAA"], ["AAAAAAAA", "AAAAAAAA"]]
+    for bad in (
+        plan([source()] * 3), plan([source(num_rows=6)] * 2), plan([source(size_bytes=6)] * 2), plan(rows=11), plan(files=3), plan(input_bytes=11),
+        plan([source(fields=[field()] * 2)] * 2), plan([source(fields=[field(nested(3))])]), plan([source(schema_metadata=big)]), plan([source(fields=[field(metadata=big)])]),
+        plan(proposal=target(fields=[field()] * 4)), plan(proposal=target(fields=[field(nested(4000))])), plan(proposal=target(schema_metadata=big)),
+        plan(proposal=target(operations=[{"path": ["x"], "source_type": None, "target_type": None}] * 7)),
+        plan(proposal=target(operations=[{"path": ["x"] * 4, "source_type": None, "target_type": None}])),
+        plan(proposal=target(operations=[{"path": ["x"], "source_type": nested(4000), "target_type": None}])),
+        plan(proposal=target(conflicts=[{"path": [], "values": [[0, None]] * 3}])),
+    ):
+        try:
+            raw_caps(bad, limits)
+        except LimitExceeded:
+            continue
+        raise AssertionError(bad)
+    raw_caps(plan([source(fields=[field(nested(2))])], target(operations=[{"path": ["x"], "source_type": nested(2), "target_type": {"kind": "int"}}]), rows=1), limits)
+
+
+def test_metered_file(tmp_path):
+    import pytest
+
+    from tributary.errors import LimitExceeded
+    from tributary.sources.parts import Metered
+
+    with Metered(str(tmp_path / "x"), 5) as out:
+        out.write(b"abc")
+        with pytest.raises(LimitExceeded):
+            out.write(b"def")
+        out.write(b"de")
+    assert (tmp_path / "x").read_bytes() == b"abcde"

@@ -340,25 +340,71 @@ class Plan:
         return out
 
 
+def _at_most(name: str, have: Any, most: int) -> int:
+    if type(have) is int and have > most:
+        raise LimitExceeded(f"{name}: {have}, the limit is {most}")
+    return have if type(have) is int else 0
+
+
+class _Tally:
+    """Fields and metadata bytes of raw JSON schemas, counted without recursion and stopped at a cap."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.fields, self.metadata = limits, 0, 0
+
+    def pairs(self, value: Any) -> None:
+        for pair in check_list(value, "metadata"):
+            # base64 has four characters for three bytes, less one for each sign at its end
+            self.metadata += sum(3 * len(x) // 4 - x[-2:].count("=") for x in (pair if type(pair) is list else ()) if type(x) is str)
+            _at_most("max_metadata_bytes", self.metadata, self.limits.max_metadata_bytes)
+
+    def schema(self, columns: Any, level: int = 0) -> None:
+        levels = [(level, check_list(columns, "fields"))]
+        while levels:
+            level, members = levels.pop()
+            self.fields += len(members)
+            _at_most("max_fields", self.fields, self.limits.max_fields)
+            for f in members:
+                if type(f) is dict:
+                    self.pairs(f.get("metadata", []))
+                    self.type(f.get("type"), level, levels)
+
+    def type(self, value: Any, level: int, levels: list) -> None:
+        if type(value) is dict and value.get("kind") == "struct":
+            _at_most("max_depth", level + 1, self.limits.max_depth)
+            levels.append((level + 1, check_list(value.get("fields"), "fields")))
+
+
 def raw_caps(plan: dict, limits: Limits) -> None:
-    """Counts of a plan's raw JSON against the limits, before any record is made."""
-    sources = check_list(plan["sources"], "sources")
-    if len(sources) > limits.max_files:
-        raise LimitExceeded(f"max_files: {len(sources)}, the limit is {limits.max_files}")
-    schemas = [s.get("fields") for s in sources if type(s) is dict]
+    """Everything that a plan's raw JSON can make large, against the limits, before any record is made."""
+    counters = plan["preflight_counters"] if type(plan["preflight_counters"]) is dict else {}
+    sources = [s for s in check_list(plan["sources"], "sources") if type(s) is dict]
+    for name, own, each in (("max_files", "files", None), ("max_rows", "rows", "num_rows"), ("max_input_bytes", "input_bytes", "size_bytes")):
+        _at_most(name, counters.get(own), getattr(limits, name))
+        sizes = [1 if each is None else s.get(each) for s in sources]
+        _at_most(name, sum(x for x in sizes if type(x) is int), getattr(limits, name))
+    every = _Tally(limits)
+    for s in sources:
+        every.schema(s.get("fields"))
+        every.pairs(s.get("schema_metadata"))
     target = plan["proposal"]
-    for group in (schemas, [target.get("fields")] if type(target) is dict else []):
-        count, pending = 0, [(f, 0) for fs in group for f in check_list(fs, "fields")]
-        while pending:
-            f, level = pending.pop()
-            count += 1
-            kind = f.get("type") if type(f) is dict else None
-            if type(kind) is dict and kind.get("kind") == "struct":
-                if level >= limits.max_depth:
-                    raise LimitExceeded(f"struct levels: more than {limits.max_depth}")
-                pending += [(c, level + 1) for c in check_list(kind.get("fields"), "fields")]
-            if count > limits.max_fields:
-                raise LimitExceeded(f"fields: more than {limits.max_fields}")
+    if type(target) is not dict:
+        return
+    own = _Tally(limits)
+    own.schema(target.get("fields"))
+    own.pairs(target.get("schema_metadata"))
+    steps, conflicts = (check_list(target.get(n), n) for n in ("operations", "conflicts"))
+    _at_most("operations", len(steps), limits.max_files * limits.max_fields)
+    _at_most("conflicts", len(conflicts), MAX_CONFLICTS)
+    for item in (x for x in (*steps, *conflicts) if type(x) is dict):
+        _at_most("path segments", len(check_list(item.get("path"), "path")), limits.max_depth + 1)
+        _at_most("values of a conflict", len(check_list(item.get("values", []), "values")), limits.max_files)
+        for name in ("source_type", "target_type"):
+            below: list = []
+            alone = _Tally(limits)
+            alone.type(item.get(name), 0, below)
+            for level, members in below:
+                alone.schema(members, level)
 
 
 @dataclass(frozen=True)
