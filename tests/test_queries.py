@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from tables import TABLES
 
-from tributary import queries as q
+from tributary import lifecycle as q
+from tributary import queries as first
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,6 @@ def test_entry(spark):
 
 def test_pruning(spark, tmp_path):
     """Unused columns aren't read, and a coordinate prunes the other source's branch."""
-    df = q.flagship(spark, TABLES)
+    df = first.flagship(spark, TABLES)
     text = df.where("__pc_source = 1").select("o_orderkey", "__pc_row")._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and "o_amount" not in text.split("ReadSchema")[1].split("\n")[0]

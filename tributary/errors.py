@@ -56,7 +56,7 @@ CONDITIONS = {
 
 
 def status_of(error: BaseException) -> str:
-    """The status of an exception: its own, its Spark condition's, or its system error's."""
+    """The status of an exception: its own, its task's, its Spark condition's, or its system error's."""
     import errno
 
     if isinstance(error, Refusal):
@@ -71,6 +71,9 @@ def status_of(error: BaseException) -> str:
         return "LIMIT_EXCEEDED"
     condition = getattr(error, "getCondition", lambda: None)()
     text = f"{condition or ''} {error}"
+    for kind in Refusal.__subclasses__():  # a refusal in a task arrives as text
+        if f"{kind.__module__}.{kind.__name__}:" in text:
+            return kind.status
     for name, status in CONDITIONS.items():
         if name in text:
             return status

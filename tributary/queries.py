@@ -1,32 +1,36 @@
 """The catalogue: every operator over the tables, through plans, alignment and verification.
 
-Sources are made from a table by splitting it in file order and writing the halves with exact
-Arrow types, in tasks; the contract starts from those files' footers.
+Sources are made from a table by Spark tasks, which split it by a key in file order and write each
+half with exact Arrow types into the shared folder; the contract starts from those files' footers.
+Tables are only read through Spark, footers through Spark's stores.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from functools import reduce
 from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tributary.errors import Refusal
 from tributary.examples import create
 from tributary.operators.align import converge
 from tributary.operators.feasibility import conflicts_frame, operations_frame, plan, proposal_frame, row_counts, violations
-from tributary.operators.origin import origin_row
 from tributary.operators.verify import compare, observations
 from tributary.plans.lattice import propose
 from tributary.plans.records import Limits, Plan, Proposal, Source
 from tributary.plans.types import ROW, SOURCE
 from tributary.session import exact
-from tributary.sources.parquet import Copy, footer, inventory, scan, sha256_file
+from tributary.sources.parquet import Copy, HadoopFile, footer, inventory, scan, sha256_file
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -41,36 +45,63 @@ def query(sql: str):
 
 
 def _space(spark: SparkSession) -> Path:
-    """A folder for the sources of one query. Sources are local files, as in the contract."""
+    """A folder for the sources of one query: in the shared folder that spark.checkpoint.dir names, a local one where that is unset."""
     exact(spark)
-    return Path(tempfile.mkdtemp(prefix="tributary-query-"))
-
-
-def _batches(sf_dir: str, name: str, columns: list[str]):
-    """A table's record batches in file order; memory is one batch, whatever the table's size."""
-    return ds.dataset(f"{sf_dir}/{name}.parquet").to_batches(columns=columns, batch_size=1 << 16)
-
-
-def _halves(sf_dir: str, name: str, columns: list[str], key: str, n: int, make, root: Path) -> tuple[tuple[Source, ...], list[str]]:
-    """Sources 0 .. n-1 of the rows with key % n; make(source, batch) gives a batch's table in the source's types."""
-    paths, writers = [root / f"{name}-{i}.parquet" for i in range(n)], [None] * n
-    for batch in _batches(sf_dir, name, columns):
-        table = pa.Table.from_batches([batch])
-        keys = np.asarray(table[key])
-        for i in range(n):
-            out = make(i, table.filter(pa.array(keys % n == i)))
-            if writers[i] is None:
-                writers[i] = pq.ParquetWriter(paths[i], out.schema, version="2.6")
-            writers[i].write_table(out)
-    for w in writers:
-        w.close()
-    copies = [Copy(p.name, p, *sha256_file(p)) for p in paths]
-    return inventory(copies, Limits.cluster()), [str(p) for p in paths]
-
-
-def _in_place(path: str, name: str) -> Source:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return Path(tempfile.mkdtemp(prefix="tributary-query-"))
+    at = urlparse(shared)
+    if at.scheme not in ("", "file"):
+        raise Refusal(f"exact parts are written to a mounted folder, not to {shared}", "UNSUPPORTED")
+    root = Path(at.path) / f"tributary-query-{uuid.uuid4().hex}"
+    root.mkdir(parents=True)
+    return root
+
+
+def _write_halves(root: str, name: str, make):
+    """Writes the rows of each half, which arrive half after half, and gives a row a file."""
+
+    def write(batches):
+        open_: dict[int, tuple[str, pq.ParquetWriter]] = {}
+        for batch in batches:
+            halves = np.asarray(batch.column("__half"))
+            table = pa.Table.from_batches([batch]).drop_columns(["__half", "__file", "__at"])
+            for i in np.unique(halves).tolist():
+                out = make(i, table.filter(pa.array(halves == i)))
+                if i not in open_:
+                    draft = f"{root}/.{name}-{i}.{uuid.uuid4().hex}"  # a task that runs again writes another file
+                    open_[i] = draft, pq.ParquetWriter(draft, out.schema, version="2.6")
+                open_[i][1].write_table(out)
+        done = []
+        for i, (draft, writer) in open_.items():
+            writer.close()
+            os.replace(draft, f"{root}/{name}-{i}.parquet")
+            done.append((i, *sha256_file(Path(f"{root}/{name}-{i}.parquet"))))
+        yield pa.RecordBatch.from_arrays([pa.array([d[j] for d in done], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.string()))], names=["half", "size", "sha256"])
+
+    return write
+
+
+def _halves(spark: SparkSession, sf_dir: str, name: str, columns: list[str], key: str, n: int, make, root: Path) -> tuple[tuple[Source, ...], list[str]]:
+    """Sources 0 .. n-1 of the rows with key % n, one task each; make(source, table) gives a batch's table in the source's types."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = table.select(*columns, (F.col(key) % n).cast("int").alias("__half"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    dealt = rows.repartition(n, "__half").sortWithinPartitions("__half", "__file", "__at")
+    done = {r["half"]: (r["size"], r["sha256"]) for r in dealt.mapInArrow(_write_halves(str(root), name, make), "half int, size long, sha256 string").collect()}  # a row a file
+    empty = to_arrow_schema(table.select(*columns).schema).empty_table()
+    copies = []
+    for i in range(n):
+        path = root / f"{name}-{i}.parquet"
+        if i not in done:
+            pq.write_table(make(i, empty), path, version="2.6")
+            done[i] = sha256_file(path)
+        copies.append(Copy(path.name, path, *done[i]))
+    return inventory(copies, Limits.cluster(), spark), [str(c.path) for c in copies]
+
+
+def _in_place(spark: SparkSession, path: str, name: str) -> Source:
     """A whole table as a source, read where it is; its hash is not needed for a scan."""
-    columns, pairs, rows = footer(path)
+    columns, pairs, rows = footer(HadoopFile(spark, path))
     return Source(0, name, "0" * 64, 0, rows, columns, pairs)
 
 
@@ -83,7 +114,7 @@ def _converged(spark: SparkSession, sources, paths) -> tuple[DataFrame, Proposal
 def scan_provenance(spark, sf_dir):
     exact(spark)
     path = f"{sf_dir}/events.parquet"
-    source = _in_place(path, "events.parquet")
+    source = _in_place(spark, path, "events.parquet")
     return converge(spark, (source,), [path], propose((source,))).select("event_id", "user_id", "event_type", "value", SOURCE, ROW)
 
 
@@ -93,14 +124,14 @@ def scan_provenance(spark, sf_dir):
 )
 def union_by_name_null_insert(spark, sf_dir):
     make = lambda i, t: t.select(["o_orderkey", "o_totalprice"] + ["o_orderpriority"] * i)
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], "o_orderkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], "o_orderkey", 2, make, _space(spark))
     return _converged(spark, sources, paths)[0].select(SOURCE, "o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 @query("SELECT 0 AS __pc_source, p_partkey, CAST(p_size AS INT) AS x FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 1, p_partkey, p_size FROM part WHERE p_partkey % 2 = 1")
 def widen_int(spark, sf_dir):
     make = lambda i, t: pa.table({"p_partkey": t["p_partkey"], "x": t["p_size"].cast([pa.int8(), pa.int32()][i])})
-    sources, paths = _halves(sf_dir, "part", ["p_partkey", "p_size"], "p_partkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "part", ["p_partkey", "p_size"], "p_partkey", 2, make, _space(spark))
     return _converged(spark, sources, paths)[0].select(SOURCE, "p_partkey", "x")
 
 
@@ -114,14 +145,14 @@ def widen_signed_unsigned(spark, sf_dir):
         x = pa.array(key - 1000) if i == 0 else pa.array(np.uint64((1 << 64) - 1) - key.astype(np.uint64))
         return pa.table({"o_orderkey": t["o_orderkey"], "x": x})
 
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey", "o_custkey"], "o_orderkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"], "o_orderkey", 2, make, _space(spark))
     return _converged(spark, sources, paths)[0].select(SOURCE, "o_orderkey", "x")
 
 
 @query("SELECT c_custkey, CAST(CAST(c_custkey AS DECIMAL(10,2)) AS DECIMAL(13,5)) AS x FROM customer")
 def widen_decimal_scale(spark, sf_dir):
     make = lambda i, t: pa.table({"c_custkey": t["c_custkey"], "x": t["c_custkey"].cast(pa.decimal128(21, 2)).cast([pa.decimal128(10, 2), pa.decimal128(13, 5)][i], safe=True)})
-    sources, paths = _halves(sf_dir, "customer", ["c_custkey"], "c_custkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "customer", ["c_custkey"], "c_custkey", 2, make, _space(spark))
     return _converged(spark, sources, paths)[0].select("c_custkey", "x")
 
 
@@ -131,7 +162,7 @@ def widen_decimal_scale(spark, sf_dir):
 )
 def widen_int_decimal(spark, sf_dir):
     make = lambda i, t: pa.table({"c_custkey": t["c_custkey"], "x": t["c_custkey"].cast(pa.int64()) if i == 0 else t["c_nationkey"].cast(pa.decimal128(12, 2)).cast(pa.decimal128(10, 2))})
-    sources, paths = _halves(sf_dir, "customer", ["c_custkey", "c_nationkey"], "c_custkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"], "c_custkey", 2, make, _space(spark))
     return _converged(spark, sources, paths)[0].select(SOURCE, "c_custkey", "x")
 
 
@@ -141,14 +172,14 @@ def widen_float(spark, sf_dir):
         narrow = t["s_acctbal"].cast(pa.float32(), safe=False)
         return pa.table({"s_suppkey": t["s_suppkey"], "x": narrow if i == 0 else narrow.cast(pa.float64())})
 
-    sources, paths = _halves(sf_dir, "supplier", ["s_suppkey", "s_acctbal"], "s_suppkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "supplier", ["s_suppkey", "s_acctbal"], "s_suppkey", 2, make, _space(spark))
     return _converged(spark, sources, paths)[0].select("s_suppkey", "x")
 
 
 @query("SELECT event_id, EPOCH_US(ts) * 1000 AS tick_ns FROM events")
 def widen_timestamp_ns(spark, sf_dir):
     make = lambda i, t: pa.table({"event_id": t["event_id"], "tick_ns": t["ts"].cast(pa.timestamp(["us", "ns"][i]))})
-    sources, paths = _halves(sf_dir, "events", ["event_id", "ts"], "event_id", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "events", ["event_id", "ts"], "event_id", 2, make, _space(spark))
     return _converged(spark, sources, paths)[0].select("event_id", "tick_ns")
 
 
@@ -168,7 +199,7 @@ def _payload(i: int, t: pa.Table) -> pa.Table:
     " UNION ALL SELECT 1, o_orderkey, FALSE, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1"
 )
 def struct_union(spark, sf_dir):
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 2, _payload, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 2, _payload, _space(spark))
     df = _converged(spark, sources, paths)[0]
     return df.select(SOURCE, "o_orderkey", F.col("payload").isNull().alias("p_null"), F.col("payload.x").alias("p_x"), F.col("payload.y").alias("p_y"))
 
@@ -176,7 +207,7 @@ def struct_union(spark, sf_dir):
 @query("SELECT COUNT(*) AS violations, MIN(o_orderkey) AS first_row FROM orders WHERE o_orderkey * 1000000000000 > 9223372036854775")
 def feasibility_overflow(spark, sf_dir):
     root = _space(spark)
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey"], "o_orderkey", 1, lambda i, t: pa.table({"t": pa.array(np.asarray(t["o_orderkey"]) * 10**12).cast(pa.timestamp("us"))}), root)
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey"], "o_orderkey", 1, lambda i, t: pa.table({"t": pa.array(np.asarray(t["o_orderkey"]) * 10**12).cast(pa.timestamp("us"))}), root)
     other = root / "ns.parquet"
     pq.write_table(pa.table({"t": pa.array([1], pa.int64()).cast(pa.timestamp("ns"))}), other, version="2.6")
     columns, pairs, rows = footer(str(other))
@@ -187,7 +218,7 @@ def feasibility_overflow(spark, sf_dir):
 
 @query("SELECT CAST(o_orderkey % 3 AS INT) AS __pc_source, COUNT(*) AS n FROM orders GROUP BY 1")
 def reconcile_rows(spark, sf_dir):
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey"], "o_orderkey", 3, lambda i, t: t, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey"], "o_orderkey", 3, lambda i, t: t, _space(spark))
     return row_counts(spark, sources, paths).where("n = declared").select(SOURCE, "n")
 
 
@@ -195,7 +226,7 @@ def reconcile_rows(spark, sf_dir):
 def dense_coordinates(spark, sf_dir):
     exact(spark)
     path = f"{sf_dir}/events.parquet"
-    rows = scan(spark, path, 0, _in_place(path, "events.parquet").fields).select(ROW)
+    rows = scan(spark, path, 0, _in_place(spark, path, "events.parquet").fields).select(ROW)
     return rows.agg(F.min(ROW).alias("lo"), F.max(ROW).alias("hi"), F.count("*").alias("n"), F.countDistinct(ROW).alias("d"))
 
 
@@ -206,7 +237,7 @@ def observation_count(spark, sf_dir):
         pair = pa.StructArray.from_arrays([t["o_custkey"].combine_chunks(), t["o_orderstatus"].combine_chunks()], ["x", "y"], mask=missing)
         return pa.table({"o_orderkey": t["o_orderkey"], "payload": pair})
 
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 2, make, _space(spark))
     want = propose(sources).fields
     counts = [scan(spark, p, s.source_id, s.fields).agg(F.sum(observations(None, s.fields, want)).alias("n")) for s, p in zip(sources, paths)]
     return reduce(DataFrame.union, counts).agg(F.sum("n").alias("n_values"))
@@ -224,7 +255,7 @@ def _faults(spark, sources, paths, proposal: Proposal, output: DataFrame) -> Dat
 
 @query("SELECT 2 AS files, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS mismatches FROM orders")
 def verify_clean(spark, sf_dir):
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 2, _payload, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 2, _payload, _space(spark))
     df, proposal = _converged(spark, sources, paths)
     wrong = _faults(spark, sources, paths, proposal, _output(df, proposal)).agg(F.count("*").alias("mismatches"))
     total = df.agg(F.countDistinct(SOURCE).cast("int").alias("files"), F.count("*").alias("n_rows"))
@@ -236,7 +267,7 @@ def verify_clean(spark, sf_dir):
 )
 def verify_mutated(spark, sf_dir):
     make = lambda i, t: pa.table({"k": t["o_orderkey"], "x": t["o_custkey"].cast([pa.int32(), pa.int64()][i])})
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey", "o_custkey"], "o_orderkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"], "o_orderkey", 2, make, _space(spark))
     df, proposal = _converged(spark, sources, paths)
     bad = df.withColumn("x", F.when(F.col("k") % 997 == 0, F.col("x") + 1).otherwise(F.col("x")))
     return _faults(spark, sources, paths, proposal, _output(bad, proposal)).select(SOURCE, ROW, "path", "reason")
@@ -250,30 +281,12 @@ def signed_zero_nan(spark, sf_dir):
         x[key % 500 == 0] = -0.0
         return pa.table({"event_id": t["event_id"], "x": x})
 
-    sources, paths = _halves(sf_dir, "events", ["event_id", "value"], "event_id", 1, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "events", ["event_id", "value"], "event_id", 1, make, _space(spark))
     df, proposal = _converged(spark, sources, paths)
     plus = df.withColumn("x", F.when(F.col("event_id") % 500 == 0, F.lit(0.0)).otherwise(F.col("x")))
     return _faults(spark, sources, paths, proposal, _output(plus, proposal)).join(df, ROW).select("event_id")
 
 
-@query("SELECT event_id AS __pc_row, user_id, event_type FROM events WHERE event_id = 41")
-def origin_row_lookup(spark, sf_dir):
-    return origin_row(scan_provenance(spark, sf_dir), 0, 41).select(ROW, "user_id", "event_type")
-
-
-QUERIES["origin_row"], SQL["origin_row"] = QUERIES.pop("origin_row_lookup"), SQL.pop("origin_row_lookup")
-
-
-@query("SELECT doc_id, SHA256(text) AS digest FROM documents")
-def source_digest(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("digest"))
-
-
-@query("SELECT r_regionkey, BASE64(ENCODE(r_name)) AS k FROM region")
-def metadata_base64(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.base64(F.encode("r_name", "UTF-8")).alias("k"))
-
-
 def _example(spark) -> Proposal:
     root = _space(spark) / "sources"
     create(root)
@@ -300,9 +313,8 @@ def conflicts(spark, sf_dir):
     return conflicts_frame(spark, _example(spark))
 
 
-def workloads(root: Path, sf_dir: str) -> dict[str, tuple[list[str], Limits]]:
-    """Small sources for each outcome of planning, under `root`."""
-    import shutil
+def workloads(root: Path) -> dict[str, tuple[list[str], Limits]]:
+    """Small sources for each outcome of planning, under `root`; they read none of the tables."""
 
     def put(name: str, *tables: pa.Table) -> list[str]:
         files = [f"{name}-{i}.parquet" for i in range(len(tables))]
@@ -314,9 +326,7 @@ def workloads(root: Path, sf_dir: str) -> dict[str, tuple[list[str], Limits]]:
         return pa.table([pa.array(values, t)], schema=pa.schema([pa.field("x", t, metadata=field)], metadata=meta))
 
     ordinary = put("ordinary", pa.table({"id": [1, 2], "label": ["a", "b"]}), pa.table({"id": [3], "extra": [True]}))
-    table = Path(f"{sf_dir}/embeddings.parquet")
-    part = table if table.is_file() else sorted(table.glob("*.parquet"))[0]
-    shutil.copyfile(part, root / "list.parquet")
+    pq.write_table(pa.table({"x": [[1.0], [2.0, 3.0]]}), root / "list.parquet")
     full = Limits()
     return {
         "ordinary": (ordinary, full),
@@ -334,7 +344,7 @@ def workloads(root: Path, sf_dir: str) -> dict[str, tuple[list[str], Limits]]:
 )
 def outcomes(spark, sf_dir):
     root = _space(spark)
-    plans: dict[str, Plan] = {name: plan(spark, root, files, limits) for name, (files, limits) in workloads(root, sf_dir).items()}
+    plans: dict[str, Plan] = {name: plan(spark, root, files, limits) for name, (files, limits) in workloads(root).items()}
     return spark.createDataFrame([(name, p.status) for name, p in plans.items()], "workload string, status string")
 
 
@@ -345,5 +355,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         amount = t["o_custkey"] if i == 0 else t["o_custkey"].cast(pa.decimal128(21, 2))
         return t.select(["o_orderkey", "o_orderstatus"][: 2 - i]).append_column("o_amount", amount)
 
-    sources, paths = _halves(sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 2, make, _space(spark))
+    sources, paths = _halves(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 2, make, _space(spark))
     return _converged(spark, sources, paths)[0]
