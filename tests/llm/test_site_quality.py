@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 import numpy as np
 from helpers import TABLES, corpus, empty, frame
 
@@ -37,6 +40,82 @@ def test_shrinkage(spark):
     assert got[0].keep and got[401].keep and not got[201].keep and not got[400].keep
 
 
+def slow_features(text):
+    """The statistics of one text, byte by byte."""
+    data = (text or "").encode()
+    out = [0.0] * q.FEATURES
+    if data:
+        kinds = [int(q.KIND[c]) for c in data]
+        for a, b in zip(kinds, kinds[1:]):
+            out[a * q.CLASSES + b] += 1 / max(len(data) - 1, 1)
+        words = data.split()
+        if words:
+            out[-4], out[-3] = sum(min(len(w), 64) for w in words) / len(words) / 64, len(set(words)) / len(words)
+        lines = data.split(b"\n")
+        lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+        out[-2] = len(set(lines)) / len(lines)
+    out[-1] = float(not data)
+    return out
+
+
+def slow_strength(groups, mean):
+    """Documents of prior by the method of moments: groups are (documents, mean, mean of the parent)."""
+    n = sum(g[0] for g in groups)
+    within = mean * (1 - mean)
+    spread = sum(g[0] * (g[1] - g[2]) ** 2 for g in groups) / n
+    between = max(spread - within * (len(groups) - 1) / n, 1e-6 * within)
+    return min(max(within / between - 1, 1.0), 1e6)
+
+
+def slow_quality(rows, labels):
+    """(quality, host_quality, path_quality) of (id, text, path, host) rows by loops over rows and sites."""
+    x = {i: np.array(slow_features(t), np.float32).astype(float) for i, t, *_ in rows}
+    known = [(i, y) for i, y in labels if i in x and y is not None]
+    w, b = q.fit_logistic(np.array([x[i] for i, _ in known]), np.array([float(y) for _, y in known]))
+    prior = sum(y for _, y in known) / len(known)
+    base = math.log(prior / (1 - prior))
+    evidence = {i: min(max(float(x[i] @ w) + b - base, -20), 20) if t else -20.0 for i, t, *_ in rows}
+    good = {i: 1 / (1 + math.exp(-(e + base))) for i, e in evidence.items()}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, _, path, host in rows:
+        hosts[host].append(good[i])
+        paths[host, path].append(good[i])
+    mean = min(max(sum(good.values()) / len(good), 1e-3), 1 - 1e-3)
+    strength = slow_strength([(len(v), sum(v) / len(v), mean) for v in hosts.values()], mean)
+    host_q = {h: (mean * strength + sum(v)) / (strength + len(v)) for h, v in hosts.items()}
+    strength = slow_strength([(len(v), sum(v) / len(v), host_q[h]) for (h, _), v in paths.items()], mean)
+    out = {}
+    for i, _, path, host in rows:
+        v = paths[host, path]
+        own = (host_q[host] * strength + sum(v) - good[i]) / (strength + len(v) - 1)
+        own = min(max(own, 1e-4), 1 - 1e-4)
+        odds = math.log(own / (1 - own)) + evidence[i]
+        out[i] = (1 / (1 + math.exp(-odds)), host_q[host], (host_q[host] * strength + sum(v)) / (strength + len(v)))
+    return out
+
+
+def test_against_the_definition(spark):
+    """The whole formula by loops: sites of one and of many documents, null sites, empty texts, columns with clashing names."""
+    import random
+
+    rng = random.Random(3)
+    good, bad = ["plain", "words", "in", "a", "row", "and", "more", "of", "them"], ["JUNK!!", "%%%", "$$$", "x|y", "1234", "junk"]
+    rows = []
+    for i in range(260):
+        site = rng.choice(["a", "a", "a", "b", "c", None]) if i > 5 else f"only{i}"
+        poor = rng.random() < {"a": 0.1, "b": 0.8}.get(site, 0.4)
+        text = " ".join(rng.choices(bad if poor else good, k=rng.randint(3, 60))) + rng.choice(["", "\n", "\nlast line"])
+        rows.append((i, text, rng.choice(["x", "y", None]), site, int(not poor)))
+    rows += [(300, None, "x", "a", 0), (301, "", "x", "a", 0)]
+    docs = spark.createDataFrame([(i, t, p, h, 1.0, "w") for i, t, p, h, _ in rows], "doc_id long, text string, lang string, source string, evidence double, host string")
+    labels = [(r[0], r[4]) for r in rows[:160]]
+    table = spark.createDataFrame([(i, y, "t", "s") for i, y in labels], "doc_id long, quality int, text string, source string")
+    want = slow_quality([r[:4] for r in rows], labels)
+    got = {r.id: (r.quality, r.host_quality, r.path_quality) for r in q.quality(docs, table).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(a - b) for i in want for a, b in zip(got[i], want[i])) < 1e-3
+
+
 def test_awkward_rows(spark):
     rows = corpus()
     got = q.quality(frame(spark, rows), spark.createDataFrame([], LABELS), carry=True).collect()

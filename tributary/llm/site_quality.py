@@ -1,5 +1,7 @@
 """Quality by hierarchical empirical Bayes: document evidence under host and path posteriors.
 
+`documents` has no URLs: there the source stands for the host and the language for the path.
+
 1. A logistic model over byte-class statistics (how often one class of byte follows
    another, repeated words and lines) is fitted to a bounded sample of labelled documents.
    Its log odds less those of the sample's base rate are the evidence of a document: what
@@ -153,7 +155,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     m = both.agg(F.count("*").alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * (F.col("good") / F.col("n") - F.col("host_quality")) ** 2) / F.sum("n")).alias("q")).first()
     path_strength = _strength(m["k"], m["n"], m["q"], mean)
     both = both.select("host", "path", "host_quality", F.col("n").alias("path_n"), F.col("good").alias("path_good"))
-    out = scored.join(both, ["host", "path"])
+    # a row a site, written so that the documents of a large one can be dealt to several tasks
+    out = scored.join(written(both, "sites"), ["host", "path"])
     without = (F.col("host_quality") * path_strength + F.col("path_good") - F.col("good")) / (path_strength + F.col("path_n") - 1)
     without = F.least(F.greatest(without, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.log(without / (1 - without)) + F.col("evidence")
