@@ -5,6 +5,10 @@ and thresholds that rise. Features are sparse: hashed words and word beginnings
 each with the logarithm of its count. The fit sees a bounded sample of labelled documents
 and keeps the features that tell its classes apart; scoring is a map over whole texts.
 Severity is the expected grade, the sum of P(grade > j).
+
+Labels may be grades. Where they are 0 and 1 only, the sample is halved, a model with one threshold
+is fitted to each half, and documents labelled 1 get grades by thirds of the score that the model
+of the other half gives them: how far beyond doubt they are to a model that never saw them.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ def _sample_features(batches):
             first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(row) else np.zeros(0, np.int64)
             edge = np.searchsorted(row[first], np.arange(part.num_rows + 1)).astype(np.int32)
             count = np.diff(np.r_[first, len(row)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("grade"), pa.ListArray.from_arrays(edge, pa.array(h[first].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(count))], names=["grade", "features", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column("grade"), part.column("half"), pa.ListArray.from_arrays(edge, pa.array(h[first].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(count))], names=["grade", "half", "features", "counts"])
 
 
 class OrdinalModel:
@@ -82,21 +86,32 @@ def choose(sample: DataFrame, toxic: int, rest: int, least: int = 3, most: int =
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(K.U))
 
 
-def _restrict(hashes: np.ndarray):
-    """The chosen features of sampled rows, as places in `hashes`."""
+def _hits(batch: pa.RecordBatch, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in `hashes`, count) of the features that are among `hashes`."""
+    h = np.asarray(batch.column("features").flatten()).view(K.U)
+    row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(batch.column("features")), 0)))
+    if not len(hashes):
+        return row[:0], row[:0], row[:0]
+    place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    hit = hashes[place] == h
+    return row[hit], place[hit], np.asarray(batch.column("counts").flatten())[hit]
+
+
+def _restrict(hashes: np.ndarray, judges: list[OrdinalModel]):
+    """The chosen features of sampled rows, as places in `hashes`, and the score by the judge of the row's half, if any."""
 
     def restrict(batches):
         for batch in batches:
-            features, counts = batch.column("features"), batch.column("counts")
-            h = np.asarray(features.flatten()).view(K.U)
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[place] == h
-            size = np.asarray(pc.fill_null(pc.list_value_length(features), 0))
-            row = np.repeat(np.arange(batch.num_rows), size)[hit]
+            score, half = np.zeros(batch.num_rows), np.asarray(batch.column("half"))
+            for j, judge in enumerate(judges):
+                row, place, count = _hits(batch, judge.hashes)
+                own = half[row] == j
+                np.add.at(score, row[own], judge.weights[place[own]] * np.log1p(count[own]))
+            row, place, count = _hits(batch, hashes)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("grade"), pa.ListArray.from_arrays(edge, pa.array(place[hit].astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(np.asarray(counts.flatten())[hit]))],
-                names=["grade", "places", "counts"],
+                [batch.column("grade"), pa.ListArray.from_arrays(edge, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(count.astype(np.int32))), pa.array(score)],
+                names=["grade", "places", "counts", "score"],
             )
 
     return restrict
@@ -129,29 +144,23 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 0.05,
 
 
 def fit(sample: DataFrame, grades: int) -> OrdinalModel:
-    """Fits on rows of (grade, distinct feature hashes, counts).
-
-    With labels 0 and 1 only, documents labelled 1 get grades 1 to grades - 1 by thirds (for four
-    grades) of how many chosen features they have.
-    """
-    none = OrdinalModel(np.zeros(0, K.U), np.zeros(0), np.arange(grades - 1) + 4.0)
+    """Fits on rows of (grade, half, distinct feature hashes, counts); labels 0 and 1 become grades as the module's text says."""
     n = sample.agg(F.count("*").alias("n"), F.count(F.when(F.col("grade") > 0, 1)).alias("toxic"), F.max("grade").alias("top")).first()
-    if not n["toxic"] or n["toxic"] == n["n"]:
-        return none
-    hashes = choose(sample, n["toxic"], n["n"] - n["toxic"])
+    hashes = choose(sample, n["toxic"], n["n"] - n["toxic"]) if n["toxic"] and n["toxic"] < n["n"] else np.zeros(0, K.U)
     if not len(hashes):
-        return none
-    data = sample.mapInArrow(_restrict(hashes), "grade int, places array<int>, counts array<int>").toPandas()
+        return OrdinalModel(hashes, np.zeros(0), np.arange(grades - 1) + 4.0)
+    graded = n["top"] > 1 or grades == 2
+    judges = [] if graded else [fit(sample.where(F.col("half") != half), 2) for half in (0, 1)]
+    data = sample.mapInArrow(_restrict(hashes, judges), "grade int, places array<int>, counts array<int>, score double").toPandas()
     grade = np.clip(data["grade"].to_numpy(np.int64), 0, grades - 1)
     x = np.zeros((len(data), len(hashes)), np.float32)
     for i, (place, count) in enumerate(zip(data["places"], data["counts"])):
         x[i, place] = np.log1p(count)
-    if n["top"] == 1:
-        strength, toxic = x.sum(axis=1), grade > 0
-        cuts = np.quantile(strength[toxic], np.arange(1, grades - 1) / (grades - 1))
-        grade = np.where(toxic, 1 + np.searchsorted(cuts, strength, "right"), 0)
-    weights, thresholds = fit_ordinal(x, grade, grades)
-    return OrdinalModel(hashes, weights, thresholds)
+    if not graded:
+        score, toxic = data["score"].to_numpy(), grade > 0
+        cuts = np.quantile(score[toxic], np.arange(1, grades - 1) / (grades - 1))
+        grade = np.where(toxic, 1 + np.searchsorted(cuts, score, "right"), 0)
+    return OrdinalModel(hashes, *fit_ordinal(x, grade, grades))
 
 
 def _score(model: OrdinalModel, names: list[str]):
@@ -169,7 +178,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per document: id, severity (expected grade), grade, exceed (P(grade > j)), toxic.
 
     `toxic` is P(grade > 0) >= threshold. `sample` bounds the labelled documents that the fit sees:
-    those with the smallest hashed ids. Labels above 1 are grades as they are. Labels that are null,
+    those with the smallest hashed ids, of whose features it keeps 1500 at most. Labels above 1 are grades as they are. Labels that are null,
     have a null id or no document are not used; without both kinds nothing is toxic. Null and empty
     texts have no features. Rows that repeat an id are scored one by one. An empty table gives an
     empty result; other columns are not read.
@@ -178,7 +187,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(col(id_col).cast("long").alias("label_id"), col(label_col).cast("int").alias("grade")).where("label_id is not null and grade is not null")
     known = known.orderBy(F.xxhash64("label_id"), "label_id", "grade").limit(sample)  # bounded: 12 bytes a row
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    seen = rows.join(F.broadcast(known), F.col("id") == F.col("label_id")).select("grade", "text")
-    model = fit(written(seen.mapInArrow(_sample_features, "grade int, features array<long>, counts array<int>"), "sample"), grades)
+    seen = rows.join(F.broadcast(known), F.col("id") == F.col("label_id"))
+    seen = seen.select("grade", F.pmod(F.xxhash64("label_id", F.lit("half")), F.lit(2)).cast("int").alias("half"), "text")
+    model = fit(written(seen.mapInArrow(_sample_features, "grade int, half int, features array<long>, counts array<int>"), "sample"), grades)
     scored = rows.mapInArrow(_score(model, ["id"]), "id long, exceed array<double>, severity double")
     return scored.select("id", "severity", F.round("severity").cast("int").alias("grade"), "exceed", (F.get("exceed", F.lit(0)) >= threshold).alias("toxic"))
