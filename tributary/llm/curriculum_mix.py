@@ -13,8 +13,9 @@ the inverse of the cumulative demand (a root of a quadratic in its piece) is the
 training position of each pass over a document. Documents are range-sorted by position.
 
 Prefix sums are taken in two levels: inside (source, slot), where a slot is a range of
-the hash, and over the slots' sums. A source with a third of all rows is 1,024 even
-groups.
+the hash, and over the slots' sums. The number of slots follows the rows, so a source with
+a third of all rows is many even groups at any size; it changes no result, as documents lie
+in the order of the hash either way.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLOT_BITS = 10
+#: Rows of one slot at most, on average, and the least number of slots.
+SLOT_ROWS, LEAST_SLOTS = 1 << 18, 1 << 10
 #: Rate of use over training time for the weights in turn: early, even, late. Only the shape counts.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -73,12 +75,13 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     col = lambda name: F.col(f"`{name}`")
     hashed = F.xxhash64(col(id_col).cast("string"), F.lit(seed))
+    slot_bits = (max(LEAST_SLOTS, docs.count() // SLOT_ROWS) - 1).bit_length()
     rows = docs.select(
         col(id_col).alias("id"),
         F.coalesce(F.concat(F.lit("0"), col(source_col).cast("string")), F.lit("1")).alias("key"),
         F.coalesce(F.regexp_count(col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         hashed.alias("h"),
-        F.shiftrightunsigned(hashed, 64 - SLOT_BITS).cast("int").alias("slot"),
+        F.shiftrightunsigned(hashed, 64 - slot_bits).cast("int").alias("slot"),
         *([F.struct(*[col(c) for c in docs.columns]).alias("row")] if carry else []),
     )
     placed = rows.repartition("key", "slot")
