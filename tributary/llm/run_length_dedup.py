@@ -339,23 +339,24 @@ def _cut(size: int, k: int, out_schema: pa.Schema, with_bytes: bool):
     return cut
 
 
-def run_length_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, k: int = 32, most: int = 2048, with_bytes: bool = True) -> DataFrame:
+def run_length_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, k: int = 32, most: int = 2048, with_bytes: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
     """All columns of `docs` but the text (prefixed `c_`) with n_bytes, n_removed, n_spans, kept_sha256
     and, with_bytes, kept: the bytes that remain, which may cut a character.
 
     Null text is empty; texts shorter than `size` lose nothing. Ids only place rows: null and
     repeated ids are rows like others, and equal rows remove each other. An empty table gives an
-    empty result.
+    empty result. Larger blocks (`block_bytes` of text) make fewer messages, for 10 TB and more.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    blocks = block_count(text_bytes(docs, f"`{text_col}`"))
+    blocks = block_count(text_bytes(docs, f"`{text_col}`"), block_bytes)
     shards = 4 * blocks
     col = lambda name: F.col(f"`{name}`")
+    kept = [c for c in (docs.columns if with_bytes else [id_col]) if c != text_col]
     rows = docs.select(
         F.pmod(F.xxhash64(col(id_col), F.octet_length(col(text_col))), F.lit(blocks)).cast("int").alias("_block"),
         col(text_col).cast("string").alias("_text"),
-        *[col(c).alias(f"c_{c}") for c in (docs.columns if with_bytes else [id_col]) if c != text_col],
+        *[col(c).alias(f"_p{i}") for i, c in enumerate(kept)],  # Arrow groups take plain names only
     )
     by_block = rows.groupBy("_block")
     segments = written(by_block.applyInArrow(_sieve(size, k), SEGMENT), "snippets")
@@ -367,7 +368,8 @@ def run_length_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranges = sent.groupBy("to").applyInArrow(_mark(size), PACKED)
     whole = segments.select("block", "s1", "s2").join(repeated.where("n > 1").select("s1", "s2"), ["s1", "s2"])
     marks = whole.select("block", "s1", "s2", F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("payload")).unionByName(ranges.select(F.col("to").alias("block"), F.lit(None).cast("long").alias("s1"), F.lit(None).cast("long").alias("s2"), "kind", "payload"))
-    fields = [f for f in rows.schema if f.name.startswith("c_")]
+    fields = [f for f in rows.schema if f.name.startswith("_p")]
     more = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + ([T.StructField("kept", T.BinaryType())] if with_bytes else [])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + more)
-    return by_block.cogroup(marks.groupBy("block")).applyInArrow(_cut(size, k, to_arrow_schema(schema), with_bytes), schema)
+    cut = by_block.cogroup(marks.groupBy("block")).applyInArrow(_cut(size, k, to_arrow_schema(schema), with_bytes), schema)
+    return cut.toDF(*[f"c_{c}" for c in kept], *[f.name for f in more])

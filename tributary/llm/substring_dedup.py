@@ -201,7 +201,7 @@ def _cut(size: int, out_schema: pa.Schema, with_text: bool):
     return cut
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, with_text: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
     """All columns of `docs` (prefixed `c_`) with n_words, n_removed, kept_sha256 and,
     with_text, kept_text and removed_spans.
 
@@ -210,28 +210,34 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than any other, and equal ids are not smaller than each other: rows that repeat an
     id don't remove each other's windows. Texts shorter than a window lose nothing. An
     empty table gives an empty result. Other columns pass through whatever their names.
+
+    A block sends at most one message to each shard, and there are as many shards as blocks: from
+    some 10 TB of text on a message would hold less than a cell, and 64 MB of text a block (a task
+    then takes about 1 GB) keep messages at a dozen cells up to 100 TB.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    total = text_bytes(docs, text_col)
-    blocks = block_count(total)
+    total = text_bytes(docs, f"`{text_col}`")
+    blocks = block_count(total, block_bytes)
     shard_bits = blocks.bit_length() - 1
     bits = min(56, max(shard_bits + 12, max(total, 1).bit_length()))
     # text_col may be any string-like column; ids are longs
+    kept = [c for c in (docs.columns if with_text else [id_col]) if c != text_col]
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col)), F.lit(blocks)).cast("int").alias("_block"),
-        F.col(id_col).cast("long").alias("_id"),
-        F.col(text_col).cast("string").alias("_text"),
-        *[F.col(f"`{c}`").alias(f"c_{c}") for c in (docs.columns if with_text else [id_col]) if c != text_col],
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.octet_length(F.col(f"`{text_col}`"))), F.lit(blocks)).cast("int").alias("_block"),
+        F.col(f"`{id_col}`").cast("long").alias("_id"),
+        F.col(f"`{text_col}`").cast("string").alias("_text"),
+        *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(kept)],  # Arrow groups take plain names only
     )
     by_block = rows.groupBy("_block")
     sketches = by_block.applyInArrow(_sketch(size, bits, shard_bits), MESSAGE)
     repeated = sketches.groupBy("to").applyInArrow(_merge(bits, shard_bits), MESSAGE)
     sent = by_block.cogroup(repeated.groupBy("to")).applyInArrow(_candidates(size, bits, shard_bits), MESSAGE)
     answers = sent.groupBy("to").applyInArrow(_exact, MESSAGE)
-    fields = [f for f in rows.schema if f.name.startswith("c_")]
+    fields = [f for f in rows.schema if f.name.startswith("_p")]
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_text:
         more += [T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())])))]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + more)
-    return by_block.cogroup(answers.groupBy("to")).applyInArrow(_cut(size, to_arrow_schema(schema), with_text), schema)
+    cut = by_block.cogroup(answers.groupBy("to")).applyInArrow(_cut(size, to_arrow_schema(schema), with_text), schema)
+    return cut.toDF(*[f"c_{c}" for c in kept], *[f.name for f in more])
