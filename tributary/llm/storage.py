@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: What goes to a Python worker at once, in bytes: rows are counted in thousands, whatever their size.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    name, size = BATCH
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
@@ -30,8 +46,20 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     its running tasks.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the files of written frames that nothing will read again."""
+    for df in frames:
+        path = None if df is None else df.__dict__.get("_written_to")
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
