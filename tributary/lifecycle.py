@@ -310,13 +310,17 @@ def many_sources(spark, sf_dir):
     return df.select(SOURCE, ROW, "o_orderkey", "o_custkey", "o_orderpriority")
 
 
-@query("SELECT 'READY_FOR_REVIEW' AS status, CAST(2 AS BIGINT) AS files, COUNT(*) AS n_rows, TRUE AS same FROM orders")
-def plan_where_they_are(spark, sf_dir):
-    """A plan over sources that only Spark opens: the same sources and proposal as over private copies."""
+@query("SELECT 'READY_FOR_REVIEW' AS status, CAST(2 AS BIGINT) AS files, COUNT(*) AS n_rows, TRUE AS same, 'VERIFIED' AS applied, 'VERIFIED' AS verified, 'VERIFIED' AS origin FROM orders")
+def sources_where_they_are(spark, sf_dir):
+    """The lifecycle over sources read as Spark reads them: the same sources and proposal as over private copies."""
     root, names = _orders(spark, sf_dir)
     p = plan(spark, f"file://{root}", names, Limits.cluster(), where_they_are=True)
     copied = plan(spark, root, names, Limits.cluster())
-    return told(spark, [(p.status, p.counters[0], p.counters[1], (p.sources, p.proposal) == (copied.sources, copied.proposal))], "status string, files long, n_rows long, same boolean")
+    target, store = root.parent / "result", f"file://{root}"
+    applied = apply(spark, approve(p, []), store, target)
+    verified, origin = verify_dataset(spark, target, store), lookup_origin(spark, target, 1, 3, store)
+    same = (p.sources, p.proposal) == (copied.sources, copied.proposal)
+    return told(spark, [(p.status, p.counters[0], p.counters[1], same, applied.status, verified.status, origin.integrity_level)], "status string, files long, n_rows long, same boolean, applied string, verified string, origin string")
 
 
 @query("SELECT CAST(o_orderkey % 2 AS INT) AS source_id, TRUE AS same, COUNT(*) AS n FROM orders GROUP BY 1")

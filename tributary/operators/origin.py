@@ -16,18 +16,22 @@ from tributary.plans.documents import canonical, check_int
 from tributary.plans.records import Approved, Origin, Part, Report, Source
 from tributary.plans.types import ROW, SOURCE
 from tributary.session import exact
-from tributary.sources.parquet import checked_directory
+from tributary.sources.parquet import checked_directory, located
 
 
-def verify_dataset(spark: SparkSession, dataset: Path, root: Path, approved: Approved | None = None) -> Report:
+def verify_dataset(spark: SparkSession, dataset: Path, root: Path | str, approved: Approved | None = None) -> Report:
     """The dataset against itself, then against its sources."""
     try:
         dataset = checked_directory(dataset)
         stored, parts, _, _ = read_dataset(dataset)
         if approved is not None and approved != stored:
             raise Conflicted("the dataset was made by another approval")
-        root = checked_directory(root)
-        return verify(spark, stored, [root / s.relative_path for s in stored.plan.sources], dataset, parts, control=True)
+        there = located(root)
+        if isinstance(there, str):
+            paths = [f"{there.rstrip('/')}/{s.relative_path}" for s in stored.plan.sources]
+        else:
+            paths = [checked_directory(root) / s.relative_path for s in stored.plan.sources]
+        return verify(spark, stored, paths, dataset, parts, control=True)
     except (Exception, KeyboardInterrupt) as error:
         return refusal(status_of(error), error, approved)
 
@@ -51,7 +55,7 @@ def check_provenance(spark: SparkSession, approved: Approved, dataset: Path, par
         raise Conflicted(message)
 
 
-def lookup_origin(spark: SparkSession, dataset: Path, source_id: int, row: int, root: Path | None = None) -> Origin:
+def lookup_origin(spark: SparkSession, dataset: Path, source_id: int, row: int, root: Path | str | None = None) -> Origin:
     """The origin of a row. Without sources the output is checked alone; with them, everything is."""
     exact(spark)
     dataset = checked_directory(dataset)

@@ -16,12 +16,12 @@ from tributary.plans.documents import canonical, digest, parse
 from tributary.plans.records import FORMAT, Approved, Limits, Part, Report, runtime
 from tributary.plans.types import schema_size
 from tributary.session import exact
-from tributary.sources.parquet import checked_directory, clear, scan, snapshot
+from tributary.sources.parquet import checked_directory, clear, in_place, located, scan, snapshot, unchanged
 from tributary.sources.parts import write_part
 from tributary.sources.publication import free_name, probe_noreplace, publish_directory
 
 
-def rewrite(spark: SparkSession, approved: Approved, source_paths: list[Path], directory: Path) -> list[Part]:
+def rewrite(spark: SparkSession, approved: Approved, source_paths: list[Path | str], directory: Path) -> list[Part]:
     """One part per source in an empty directory. Not verified, not published."""
     if approved.plan.runtime != runtime():
         raise Unsupported(f"the plan was made with {approved.plan.runtime}, this is {runtime()}")
@@ -30,7 +30,7 @@ def rewrite(spark: SparkSession, approved: Approved, source_paths: list[Path], d
     exact(spark)
     proposal, parts, directory = approved.plan.proposal, [], Path(directory).absolute()
     for s, path in zip(approved.plan.sources, source_paths, strict=True):
-        part = write_part(align(scan(spark, str(Path(path).absolute()), s.source_id, s.fields), s.fields, proposal.fields), proposal, s.source_id, directory, approved.plan.limits)
+        part = write_part(align(scan(spark, str(located(path)), s.source_id, s.fields), s.fields, proposal.fields), proposal, s.source_id, directory, approved.plan.limits)
         if part.rows != s.num_rows:
             raise Refusal(f"source={s.source_id}: {part.rows} rows were written of {s.num_rows}", "ERROR")
         parts.append(part)
@@ -109,24 +109,32 @@ def read_dataset(dataset: Path) -> tuple[Approved, list[Part], Report, dict]:
     return approved, parts, report, listed
 
 
-def apply(spark: SparkSession, approved: Approved, root: Path, destination: Path) -> Report:
-    """Publishes a verified dataset under a free name, or leaves nothing there and says why."""
+def apply(spark: SparkSession, approved: Approved, root: Path | str, destination: Path) -> Report:
+    """Publishes a verified dataset under a free name, or leaves nothing there and says why.
+
+    Sources under a root with a scheme are read where they are, in any store that Spark reads;
+    others are copied to the staging folder first.
+    """
     staging = None
     try:
-        protected = [Path(root)]
+        there = isinstance(located(root), str)
+        protected = [] if there else [Path(root)]
         target = free_name(destination, protected)
         probe_noreplace(target.parent)
         staging = Path(tempfile.mkdtemp(prefix=f".{target.name}.INCOMPLETE-", dir=target.parent))
         inputs, dataset = staging / "sources", staging / "dataset"
         inputs.mkdir(), dataset.mkdir()
         try:
-            copies = snapshot(Path(root), [s.relative_path for s in approved.plan.sources], inputs, approved.plan.limits, approved.plan.sources)
+            names, limits = [s.relative_path for s in approved.plan.sources], approved.plan.limits
+            copies, marks = in_place(spark, str(root), names, limits, approved.plan.sources) if there else (snapshot(Path(root), names, inputs, limits, approved.plan.sources), None)
         except Refusal as error:
             raise Conflicted(str(error)) if error.status == "ERROR" else error
         parts = rewrite(spark, approved, [c.path for c in copies], dataset)
         report = verify(spark, approved, [c.path for c in copies], dataset, parts)
         if not report.verified:
             return report
+        if marks is not None:
+            unchanged(spark, copies, marks)
         decision, verification = canonical(approved.to_json()), canonical(report.to_json())
         (dataset / "_decision.json").write_bytes(decision)
         (dataset / "_verification.json").write_bytes(verification)

@@ -28,7 +28,7 @@ from tributary.plans.documents import canonical, check_int, digest
 from tributary.plans.records import Approved, Limits, Part, Proposal, Report, Source, diagnostic, runtime
 from tributary.plans.types import ROW, SOURCE, Field, Type, field_from_arrow, to_scan
 from tributary.session import exact
-from tributary.sources.parquet import footer, quoted, scan, sha256_file
+from tributary.sources.parquet import HadoopFile, footer, identity, located, quoted, scan, sha256_file
 
 CONTROL = ("_decision.json", "_manifest.json", "_verification.json")
 SECONDS = {"s": 0, "ms": 3, "us": 6, "ns": 9}
@@ -225,10 +225,11 @@ def reading(spark: SparkSession, batch_rows: int | None):
         spark.conf.set(name, before)
 
 
-def verify(spark: SparkSession, approved: Approved, source_paths: list[Path], dataset: Path, parts: list[Part], control: bool = False, batch_rows: int | None = None) -> Report:
+def verify(spark: SparkSession, approved: Approved, source_paths: list[Path | str], dataset: Path, parts: list[Part], control: bool = False, batch_rows: int | None = None) -> Report:
     """Everything afresh: sources, derived schema, parts' bytes and footers, coordinates, every observation.
 
-    `batch_rows` makes reads smaller, never larger than the plan's limit.
+    Source paths with a scheme are read where they are, in any store. `batch_rows` makes reads
+    smaller, never larger than the plan's limit.
     """
     if batch_rows is not None:
         try:
@@ -240,18 +241,18 @@ def verify(spark: SparkSession, approved: Approved, source_paths: list[Path], da
     exact(spark)
     try:
         plan, dataset = approved.plan, Path(dataset).absolute()
-        source_paths = [Path(p).absolute() for p in source_paths]
+        source_paths = [located(p) for p in source_paths]
         if plan.runtime != runtime():
             raise Unsupported(f"the plan was made with {plan.runtime}, this is {runtime()}")
         if not source_paths:
             raise Incomplete("there are no sources to verify against")
         actual = []
         for s, path in zip(plan.sources, source_paths, strict=True):
-            if not Path(path).exists():
+            if isinstance(path, Path) and not path.exists():
                 raise Incomplete(f"source {s.relative_path!r} doesn't exist")
-            if sha256_file(path) != (s.size_bytes, s.sha256):
+            if identity(spark, path) != (s.size_bytes, s.sha256):
                 raise Conflicted(f"source={s.source_id} the file isn't the one that was planned")
-            columns, pairs, rows = footer(str(path))
+            columns, pairs, rows = footer(str(path) if isinstance(path, Path) else HadoopFile(spark, path))
             actual.append(Source(s.source_id, s.relative_path, s.sha256, s.size_bytes, rows, columns, pairs))
         if tuple(actual) != plan.sources or derive(tuple(actual)) != plan.proposal:
             raise Conflicted("the sources as they are lead to another target than the approved one")

@@ -232,6 +232,20 @@ def unchanged(spark: SparkSession, copies: list[Copy], marks: list[tuple]) -> No
             raise Refusal(f"source {copy.identifier!r} changed while it was read", "ERROR")
 
 
+def located(path: Path | str) -> Path | str:
+    """A path with a scheme as it is, a local one absolute."""
+    return str(path) if "://" in str(path) else Path(path).absolute()
+
+
+def identity(spark: SparkSession, path: Path | str) -> tuple[int, str]:
+    """(bytes, sha256) of a local file, or by a task of one in any store."""
+    if not isinstance(path, str):
+        return sha256_file(path)
+    _states(spark, [path])
+    found = hashes(spark, [path]).first()
+    return found["length"], found["sha256"]
+
+
 def scan(spark: SparkSession, path: str, source_id: int, columns: tuple[Field, ...]) -> DataFrame:
     """All readable columns of one file in the engine's types, with __pc_source and __pc_row.
 
