@@ -9,23 +9,25 @@ vectors, which is plain Jaccard where weights are equal.
    A shingle stops once its next arrival is later than every register of the
    document, so most shingles draw once. Two signatures agree in a register with
    exactly the probability Jaccard.
-2. Banding: `band` registers hash to a bucket. Of a bucket, each text is compared
-   with the smallest key only, so that a group of any size gives as many pairs as it
-   has texts. All pairs are verified exactly on their whole texts.
-3. Classes are the connected components of verified pairs. In buckets whose texts are
-   then still in several components, every text proposes texts of other components that a
-   longer signature finds promising: its likest few in the first round, which unites groups
-   of copies of one text, and after that all that are left. Proposals are verified and
-   components renewed until no text has a promising one.
-
-Equal texts share one key from the start and cost one group-by row each. Texts,
-signatures and links stay distributed; the driver sees counts.
+2. Banding: `band` registers hash to a bucket. Texts that share a bucket and whose signatures
+   promise a likeness near the threshold or above are verified exactly on their whole texts,
+   in the first bucket that they share. A task holds many buckets, finds the pairs in memory,
+   and verifies the likest first: a pair that links found before it have joined is left out,
+   so it gives fewer links than it has texts.
+3. A bucket of more than `block` texts is not one task's. First all its texts are compared with
+   a few hubs, chosen from the whole bucket, in a few rounds: that joins most of a large family
+   in rows linear in its size. What is left are texts outside the component that holds most of
+   the bucket; these are compared with all others in blocks, majority rows going to the blocks
+   of minority rows and not to each other's.
+4. Classes are the connected components of verified pairs.
+
+Rounds and blocks set what the comparison costs, never what it finds. Equal texts share one key
+from the start and cost one group-by row each. Texts, signatures and links stay distributed; the
+driver sees counts.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,17 +35,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tributary.llm import textkit as K
-from tributary.llm.storage import written
+from tributary.llm.storage import block_count, discard, written
 
 #: A pair is promising if its estimate is at most so many standard deviations below the threshold.
 SLACK = 4.0
-#: Proposals of a text in one bucket in the first round. Later rounds have no such bound.
-FIRST = 3
+#: Text bytes that count as one text when buckets are cut into blocks.
+UNIT = 16 << 10
+#: Hubs of a bucket in one round, and rounds.
+HUBS, ROUNDS = 8, 2
+ROW = "g long, side int, here long, r long, key binary, size int, registers binary, bands array<long>"
 
 
 def text_key(text_col: str) -> Column:
     """128 bits that stand for a whole text; null is the empty text."""
-    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +117,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def _sign(k: int, m: int, bands_of: int, band: int):
     def sign(batches):
         for batch in batches:
-            for part in K.parts(batch, "text"):
+            for part in K.parts(batch, "text", 2 << 20):
                 n = part.num_rows
                 data, offs = K.text_buffer(part.column("text"))
                 row, h, weight = shingles(data, offs, k)
@@ -131,158 +136,259 @@ def _sign(k: int, m: int, bands_of: int, band: int):
                         part.column("key"),
                         pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands_of, pa.array(bands.ravel()), mask=pa.array(~has)),
                         pa.array([x.tobytes() for x in four[:, ::2] << 4 | four[:, 1::2]], pa.binary()),
+                        pa.array(np.diff(offs).astype(np.int32)),
                     ],
-                    names=["id", "key", "bands", "registers"],
+                    names=["id", "key", "bands", "registers", "size"],
                 )
 
     return sign
 
 
-def _verify(k: int, threshold: float, remembered: int = 64):
-    def verify(batches):
-        profiles: dict[bytes, tuple] = {}
-
-        def profile(key: bytes, text) -> tuple:
-            if key not in profiles:
-                if len(profiles) >= remembered:
-                    profiles.pop(next(iter(profiles)))
-                profiles[key] = shingles(*K.text_buffer(text), k)[1:]
-            return profiles[key]
-
-        for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            like = np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                own = shingles(*K.text_buffer(batch.column("b_text")[i : i + 1]), k)[1:]
-                like[i] = probability_jaccard(profile(a[i].as_py(), batch.column("a_text")[i : i + 1]), own)
-            out = pa.RecordBatch.from_arrays([a, b, pa.array(like)], names=["a", "b", "likeness"])
-            yield out.filter(pa.array(like >= threshold))
+class _Rows:
+    """Rows of many groups as arrays, group after group."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        g = np.asarray(table["g"])
+        order = np.argsort(g, kind="stable")
+        self.table = table = table.take(pa.array(order))
+        self.g, self.side, self.here, self.r = (np.asarray(table[c]) for c in ("g", "side", "here", "r"))
+        n = table.num_rows
+        packed = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(n, -1)
+        self.registers = np.concatenate([packed >> 4, packed & 15], axis=1)
+        self.bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(n, -1)
+
+    def promising(self, least: float, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, estimate) of pairs in one group but different components whose estimate is at least `least`.
+
+        Rows of side 2 meet all others, rows of sides 0 and 1 each other; without sides 0 and 1 of hubs
+        (here is null there, so 0) a pair counts in the first bucket that both rows share.
+        """
+        n = len(self.g)
+        edge = np.flatnonzero(np.r_[True, self.g[1:] != self.g[:-1]]) if n else np.zeros(0, np.int64)
+        end = np.repeat(np.r_[edge[1:], n], np.diff(np.r_[edge, n])) if n else edge
+        found = []
+        live, step = np.arange(n), 1
+        live = live[live + 1 < end]
+        while len(live):
+            ok = (self.r[live] != self.r[live + step]) & ((self.side[live] == 2) | (self.side[live] != self.side[live + step]))
+            some = live[ok]
+            for at in range(0, len(some), most):
+                i = some[at : at + most]
+                j = i + step
+                first = (self.bands[i] == self.bands[j]).argmax(axis=1)
+                mine = (self.here[i] == 0) | (self.bands[i, first] == self.here[i])
+                i, j = i[mine], j[mine]
+                agree = (self.registers[i] == self.registers[j]).mean(axis=1)
+                like = (agree - 1 / 16) / (1 - 1 / 16)  # four bits agree by chance once in 16
+                good = like >= least
+                found.append((i[good], j[good], like[good]))
+            step += 1
+            live = live[live + step < end[live]]
+        return tuple(np.concatenate([f[x] for f in found]) if found else np.zeros(0, [np.int64, np.int64, float][x]) for x in range(3))
+
+
+def _active(least: float):
+    """The rows that have a promising partner in their group."""
+
+    def active(table):
+        rows = _Rows(table)
+        i, j, _ = rows.promising(least)
+        used = np.zeros(len(rows.g), bool)
+        used[i] = used[j] = True
+        return rows.table.filter(pa.array(used)).drop_columns(["shard"])
+
+    return active
+
+
+def _links(k: int, threshold: float, least: float):
+    """Verified links that join components, likest pairs first."""
+
+    def links(table):
+        rows = _Rows(table)
+        i, j, like = rows.promising(least)
+        keys = rows.table["key"].to_pylist()
+        where: dict[bytes, int] = {}
+        for n, key in enumerate(keys):
+            where.setdefault(key, n)
+        row, h, weight = shingles(*K.text_buffer(rows.table["text"].take(pa.array(list(where.values())))), k)
+        edge = np.searchsorted(row, np.arange(len(where) + 1))
+        place = {key: n for n, key in enumerate(where)}
+        profile = lambda x: (h[edge[x] : edge[x + 1]], weight[edge[x] : edge[x + 1]])
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        found, told = [], set()
+        for n in np.argsort(-like, kind="stable"):
+            a, b = top(int(rows.r[i[n]])), top(int(rows.r[j[n]]))
+            pair = (keys[i[n]], keys[j[n]])
+            if a == b or pair in told:
+                continue
+            told.add(pair)
+            if probability_jaccard(profile(place[pair[0]]), profile(place[pair[1]])) >= threshold:
+                parent[a] = b
+                found.append(pair)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
-    return verify
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key in `links` (a, b); root is the smallest key of its component.
 
-    Smallest-neighbour labels with pointer jumping. A round is a partial aggregate and
-    joins on keys; labels are written each round, so the plan stays short.
+    Every key takes the root that its smallest neighbour takes, then links are contracted to roots
+    and repeated ones dropped, until none is left: a round works on what the round before has left,
+    so all of them together are linear in the links. Each is written, so plans stay short.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    label = written(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("low")).select("key", F.least("key", "low").alias("root")), "labels")
+    edges = written(_apart(links), "edges")
+    label = None
     while True:
-        told = both.join(label, both.b == label.key).groupBy("a").agg(F.min("root").alias("low"))
-        step = label.join(told, label.key == told.a).select("key", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        up = step.select(F.col("key").alias("up_key"), F.col("root").alias("up_root"))
-        new = written(step.join(up, step.root == up.up_key, "left").select("key", "old", F.least(F.col("root"), F.coalesce("up_root", "root")).alias("root")), "labels")
-        if new.where(F.col("old") != F.col("root")).isEmpty():
-            return new.select("key", "root")
-        label = new.select("key", "root")
-
-
-def _propose(least: float, most: int | None):
-    """In a pair of blocks of one bucket: for each text, its likest (at most `most`) untried texts of other components.
-
-    Without `most`, each pair comes once: in the first bucket that its texts share, from the smaller key.
-    """
-
-    def propose(key, table):
-        h = key[0].as_py()
-        keys = table["key"].to_pylist()
-        at = {k: i for i, k in enumerate(keys)}
-        rank = np.argsort(np.argsort(np.array(keys, object)))
-        root = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
-        packed = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(len(keys), -1)
-        regs = np.concatenate([packed >> 4, packed & 15], axis=1)
-        bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(keys), -1)
-        here = bands[0].tolist().index(h)
-        side, tried = np.asarray(table["side"]), table["tried"].to_pylist()
-        found = []
-        for i in range(len(keys)):
-            open_ = (root != root[i]) & ((side == 2) | (side != side[i]))
-            open_[[at[k] for k in tried[i] or () if k in at]] = False
-            if most is None:
-                open_ &= rank > rank[i]
-                open_ &= ~(bands[:, :here] == bands[i, :here]).any(axis=1)
-            other = np.flatnonzero(open_)
-            if not len(other):
-                continue
-            agree = (regs[other] == regs[i]).mean(axis=1)
-            like = (agree - 1 / 16) / (1 - 1 / 16)  # four bits agree by chance once in 16
-            best = np.argsort(-like, kind="stable")[:most]
-            found += [(keys[i], keys[j]) for j in other[best[like[best] >= least]]]
-        return pa.table({"key": pa.array([x for x, _ in found], pa.binary()), "partner": pa.array([y for _, y in found], pa.binary())})
-
-    return propose
-
-
-def _leftover(buckets: DataFrame, registers: DataFrame, label: DataFrame, asked: DataFrame, block: int, least: float, most: int | None) -> DataFrame:
-    """Proposals (key, partner) in buckets that hold several components."""
-    placed = buckets.join(label, "key", "left").select("h", "key", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    some = placed.join(mixed.select("h", "n"), "h")
-    tried = asked.groupBy("key").agg(F.collect_set("partner").alias("tried"))
-    some = some.join(registers.join(tried, "key", "left"), "key")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("key"), parts).cast("int")
-    columns = ["h", "key", "root", "registers", "bands", "tried"]
-    # a block meets itself and every other block once; a pair of blocks is a group of about 2 * block rows
-    some = some.select(*columns, mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("int")
-    some = some.select(*columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), side.alias("side"))
-    return some.groupBy("h", "p", "q").applyInArrow(_propose(least, most), "key binary, partner binary").distinct()
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("up")), "low")
+        up = low.select(F.col("key").alias("up"), F.col("up").alias("root"))
+        step = written(low.join(up, "up").select("key", "root"), "step")
+        one, two = (step.select(F.col("key").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
+        before = label
+        if label is None:
+            label = step
+        else:
+            moved = label.join(one.hint("merge"), label.root == one.a, "left")
+            label = written(moved.select("key", F.coalesce("a_root", "root").alias("root")), "label")
+        contracted = edges.join(one, "a").join(two, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        # a root that has itself moved on stays linked to where it went
+        beyond = step.select("root").distinct().join(two, F.col("root") == F.col("b")).select(F.col("root").alias("a"), F.col("b_root").alias("b"))
+        left = written(_apart(contracted.union(beyond)), "edges")
+        discard(edges, low, before if before is not step else None, step if label is not step else None)
+        if left.isEmpty():
+            discard(left)
+            return label
+        edges = left
+
+
+def _apart(links: DataFrame) -> DataFrame:
+    return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+class _Join:
+    """The links between texts of different components that share a bucket."""
+
+    def __init__(self, texts: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, threshold: float, m: int, block: int):
+        self.texts, self.signed, self.buckets, self.k, self.threshold, self.block = texts, signed, buckets, k, threshold, block
+        self.least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / m))
+
+    def verified(self, rows: DataFrame) -> DataFrame:
+        """Links (a, b) within the groups of `rows` (columns of ROW), dealt to tasks by group and by bytes."""
+        names = [c.split()[0] for c in ROW.replace("array<long>", "").split(", ")]
+        rows_of, rows = rows, rows.select(*names)
+        shards = block_count(600 * rows.count())
+        shard = lambda n: F.pmod("g", F.lit(n)).cast("int").alias("shard")
+        active = written(rows.select(shard(shards), *names).groupBy("shard").applyInArrow(_active(self.least), ROW), "active")
+        shards = block_count(active.agg(F.sum("size")).first()[0] or 0)
+        full = active.join(self.texts.hint("merge"), "key").select(shard(shards), *names, "text")
+        links = written(full.groupBy("shard").applyInArrow(_links(self.k, self.threshold, self.least), "a binary, b binary"), "links")
+        discard(rows_of, active)
+        return links
+
+    def placed(self, label: DataFrame | None, over: int = 0) -> DataFrame:
+        """Rows of buckets of more weight than `over` that hold several components, with the component r and its share `own`.
+
+        Components are joined to texts before these are dealt to their buckets.
+        """
+        texts = self.buckets.select("key", "weight", F.filter("at", lambda x: x["total"] > over).alias("at")).where(F.size("at") > 0)
+        if label is None:
+            texts = texts.withColumn("root", F.col("key"))
+        else:
+            texts = texts.join(label.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = texts.select(F.explode("at.h").alias("h"), "key", "weight", F.xxhash64("root").alias("r"))
+        parts = placed.groupBy("h", "r").agg(F.sum("weight").alias("own"))
+        mixed = parts.groupBy("h").agg(F.sum("own").alias("all"), F.max(F.struct("own", "r")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        mixed = mixed.select("h", "all", F.col("most.own").alias("most"), F.col("most.r").alias("major"))
+        return placed.join(mixed, "h")
+
+    def by_hubs(self, label: DataFrame | None, turn: int) -> DataFrame | None:
+        """Links of all texts in large buckets to hubs of theirs; none where no large bucket holds several components."""
+        placed = written(self.placed(label, self.block).join(self.signed, "key"), "crowd")
+        if placed.isEmpty():
+            return None
+        parts = F.ceil(F.col("all") / self.block).cast("int")
+        chance = Window.partitionBy("h").orderBy(F.xxhash64("key", F.lit(turn)), "key")
+        hubs = placed.select("h", "key").withColumn("n", F.row_number().over(chance)).where(F.col("n") <= HUBS).drop("n")
+        columns = ["h", "r", "key", "size", "registers", "bands"]
+        hubs = placed.join(hubs, ["h", "key"], "left_semi").select(*columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"))
+        members = placed.select(*columns, F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), F.lit(1).alias("side"))
+        both = hubs.unionByName(members).withColumn("g", F.xxhash64("h", "part")).withColumn("here", F.lit(0).cast("long"))
+        return self.verified(written(both, "hubs"))
+
+    def by_blocks(self, label: DataFrame | None) -> DataFrame:
+        """All links that are left: small buckets whole, large ones in blocks of the majority and the rest."""
+        placed = self.placed(label)
+        block = F.lit(self.block)
+        majors, minors = F.ceil(F.col("most") / block).cast("int"), F.ceil((F.col("all") - F.col("most")) / block).cast("int")
+        kind = lambda n, p, q, side: F.struct(F.lit(n).alias("kind"), p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+        p, q = F.pmod(F.xxhash64("key"), majors), F.pmod(F.xxhash64("key"), minors)
+        to = lambda n: F.sequence(F.lit(0), n - 1)
+        zero = F.lit(0)
+        among = F.transform(to(minors), lambda x: kind(1, F.least(q.cast("int"), x), F.greatest(q.cast("int"), x), F.when(q == x, 2).when(q < x, 0).otherwise(1)))
+        groups = (
+            F.when(F.col("all") <= block, F.array(kind(2, zero, zero, F.lit(2))))
+            .when(F.col("r") == F.col("major"), F.transform(to(minors), lambda x: kind(0, p, x, F.lit(0))))
+            .otherwise(F.concat(F.transform(to(majors), lambda x: kind(0, x, q, F.lit(1))), among))
+        )
+        rows = placed.select("h", "key", "r", F.explode(groups).alias("at")).join(self.signed, "key")
+        rows = rows.select(F.xxhash64("h", "at.kind", "at.p", "at.q").alias("g"), "at.side", F.col("h").alias("here"), "r", "key", "size", "registers", "bands")
+        return self.verified(written(rows, "crowd"))
+
+
+def _joined(links: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Components of the links and of those found before, of which a link from each key to its root is left."""
+    return components(links if label is None else links.union(label.select(F.col("key").alias("a"), F.col("root").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, m: int = 512, bands: int = 32, band: int = 4, block: int = 512) -> DataFrame:
-    """One row per row of `docs`: id, key (of its text), class_id, class_key, n_links.
+    """One row per row of `docs`: id, key (of its text), class_id, class_key.
 
-    class_id is the smallest id in the class (null only if all its ids are null);
-    n_links counts the verified links of the row's text to different texts. Equal
-    texts, empty and null ones included, are one class; a text without words is like
-    no other text. Rows that repeat an id are placed by their texts. An empty table
-    gives an empty result; other columns of `docs` are not read.
+    class_id is the smallest id in the class (null only if all its ids are null), class_key the
+    smallest key. Equal texts, empty and null ones included, are one class; a text without words
+    is like no other text. Rows that repeat an id are placed by their texts. An empty table gives
+    an empty result; other columns of `docs` are not read.
 
-    With 32 bands of 4 registers a pair of likeness 0.8 shares no bucket with
-    probability 5e-8; 512 registers of 4 bits estimate it to 0.02.
+    With 32 bands of 4 registers a pair of likeness 0.8 shares no bucket with probability 5e-8;
+    512 registers of 4 bits estimate it to 0.02, and a pair that is promised four times that less
+    than the threshold is not verified.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    signed = written(rows.mapInArrow(_sign(k, m, bands, band), "id long, key binary, bands array<long>, registers binary"), "signed")
-    with_words = signed.where("bands is not null")
-    buckets = with_words.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("h"))
-    by_bucket = Window.partitionBy("h")
-    buckets = written(buckets.withColumn("low", F.min("key").over(by_bucket)).withColumn("high", F.max("key").over(by_bucket)).where("low < high").drop("high"), "buckets")
-    several = written(buckets.select("key").distinct(), "several")
-    # the same join at every size: a broadcast would only help small inputs
-    texts = written(rows.join(several.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    registers = with_words.select("key", "registers", "bands").join(several.hint("merge"), "key", "left_semi")
-    registers = written(registers.groupBy("key").agg(F.first("registers").alias("registers"), F.first("bands").alias("bands")), "registers")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # the side that may be hot (the smallest key of a large bucket) is joined while the rows are still small
-        with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-        full = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
-        return written(full.select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, threshold), "a binary, b binary, likeness double"), "verified")
-
-    least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / m))
-    asked = written(buckets.where(F.col("key") != F.col("low")).select("key", F.col("low").alias("partner")).distinct(), "asked")
-    tried = asked.select(F.col("partner").alias("a"), F.col("key").alias("b"))
-    links = verified(tried)
-    label = components(links)
-    for turn in count():
-        proposals = written(_leftover(buckets.select("h", "key"), registers, label, asked, block, least, None if turn else FIRST), "asked")
-        if proposals.isEmpty():
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    every = written(rows.mapInArrow(_sign(k, m, bands, band), "id long, key binary, bands array<long>, registers binary, size int"), "signed")
+    first = F.first(F.struct("bands", "registers", "size"))
+    signed = written(every.where("bands is not null").groupBy("key").agg(first.alias("s")).select("key", "s.bands", "s.registers", "s.size"), "texts")
+    weight = F.ceil(F.col("size") / UNIT).cast("long")
+    exploded = signed.select("key", weight.alias("weight"), F.explode("bands").alias("h"))
+    # a bucket of one text has one hash; the hash is a long, so that this is summed before it moves
+    shared = exploded.groupBy("h").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi"), F.sum("weight").alias("total")).where("lo < hi").select("h", "total")
+    shared = exploded.join(shared.hint("shuffle_hash"), "h")
+    # a text with its buckets, of which there are `bands` at most
+    buckets = written(shared.groupBy("key").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("h", "total")).alias("at")), "buckets")
+    several = buckets.select("key")
+    # copies are one row of each task before they move; the same join at every size, as a broadcast would only help small inputs
+    texts = rows.groupBy("key").agg(F.first("text").alias("text")).join(several.hint("merge"), "key", "left_semi")
+    join = _Join(written(texts, "texts"), signed, buckets, k, threshold, m, block)
+    label = None
+    for turn in range(ROUNDS):
+        found = join.by_hubs(label, turn)
+        if found is None:
             break
-        pairs = proposals.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        asked, tried = asked.union(proposals), tried.union(pairs)
-        more = verified(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    named = signed.select("id", "key").join(label.join(degree, "key", "left"), "key", "left").select("id", "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = written(named, "classes")
-    lowest = named.groupBy("class_key").agg(F.min("id").alias("class_id"))
-    return named.join(lowest, "class_key").select("id", "key", "class_id", "class_key", "n_links")
+        label = _joined(found, label)
+    label = _joined(join.by_blocks(label), label)
+    ids = every.groupBy("key").agg(F.min("id").alias("id"))
+    lowest = label.join(ids, "key").groupBy("root").agg(F.min("id").alias("class_id"))
+    linked = label.join(lowest, "root")
+    # a row a text, written so that the join with a text's copies can be split
+    classes = ids.join(linked.hint("merge"), "key", "left").select("key", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("root", "key").alias("class_key"))
+    return every.select("id", "key").join(written(classes, "classes").hint("merge"), "key").select("id", "key", "class_id", "class_key")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

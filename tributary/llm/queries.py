@@ -69,7 +69,7 @@ def op5_site_quality(spark, sf_dir):
 @query
 def op8_prob_minhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id")
 
 
 @query
