@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import TABLES, corpus, empty, frame
 
@@ -84,9 +85,44 @@ def test_plan_size_does_not_follow_counts():
 
 def test_encoder(tokenizer):
     encode = b.Encoder(PATH, remembered=50)
-    texts = ["it's DON'T I'll 'sabc x's", "ΑΣ ΣΑΣ İstanbul ǅ ﬁ", "a\x1cb", "a\xa0b c\x85d", "<|endoftext|> x", "é ́x 1234 a1b2 __ _a!? ½", "", "日本語 テスト。", "a​b", "A b, c. D! " * 40]
-    for t in texts + texts:
-        assert encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert encode.by_chunk
+    texts = ["it's DON'T I'll 'sabc x's", "ΑΣ ΣΑΣ İstanbul ǅ ﬁ", "a\x1cb", "a\x00b \x7f", "a\xa0b c\x85d", "<|endoftext|> x", "é ́x 1234 a1b2 __ _a!? ½", "", "日本語 テスト。", "a​b", "A b, c. D! " * 40, "ABC, <|ENDOFTEXT|>. <|endoftext|>. É. E\u0301, e\u0301A? a.. ?! x's. don't; K\u0301! \u212a."]
+    for some in (texts, texts[::-1], texts[:1]):
+        assert encoded(encode, some) == whole(tokenizer, some)
+
+
+def whole(tokenizer, texts):
+    return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def encoded(encode, texts):
+    flat, edge = encode(pa.array(texts, pa.string()))
+    return [flat[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])]
+
+
+def test_encoder_over_all_code_points(tokenizer):
+    """Each code point within, before and after letters, next to white space, a digit and a sign."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    encode = b.Encoder(PATH)
+    for at in range(0, len(points), 1 << 15):
+        texts = [" ".join(f"a{c}B {c} \t{c}e 1{c}.{c}" for c in points[i : i + 64]) for i in range(at, min(at + (1 << 15), len(points)), 64)]
+        assert encoded(encode, texts) == whole(tokenizer, texts)
+
+
+def test_encoder_over_control_characters_and_random_texts(tokenizer):
+    rng = random.Random(6)
+    some = [chr(c) for c in [*range(0x80), 0x85, 0xA0, 0x300, 0x301, 0x327, 0x1100, 0x1161, 0x11A8, 0x2000, 0x2001, 0x2028, 0x3000, 0xC5, 0x130, 0x3A3, 0xFB01, 0xD7, 0xF7, 0xDF, 0xE9, 0xC9, 0xFF]]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 60))) for _ in range(3000)]
+    assert encoded(b.Encoder(PATH, remembered=300), texts) == whole(tokenizer, texts)
+
+
+def test_other_vocabularies_take_texts_whole():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    texts = ["a  b\n c", "", " x\x00"]
+    encode = b.Encoder(other)
+    assert not encode.by_chunk and encoded(encode, texts) == whole(Tokenizer.from_file(other), texts)
 
 
 def test_empty_table(spark):

@@ -13,101 +13,165 @@
 from __future__ import annotations
 
 import json
-import unicodedata
+import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tributary.llm import textkit as K
 from tributary.llm.storage import written
 
 SALTS = 1024
+#: The split that `parts_at_space` knows.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that byte-level vocabularies write for each byte: its own, or the next free one from 256."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+SIGN = np.zeros(256, bool)
+SIGN[[ord(c) for c in ".,;:!?"]] = True
+
+
+def parts_at_space(shape: dict) -> bool:
+    """Whether no piece of a vocabulary holds white space or depends on what is beyond it.
+
+    True for NFC, folding of white space and of case, and a split that keeps contractions, runs of
+    letters, single numbers and runs of other signs, where added tokens have neither white space nor
+    one of SIGN. NFC joins neither ASCII white space nor ASCII signs with their neighbours.
+    """
+    steps = (shape["normalizer"] or {}).get("normalizers", [])
+    splits = (shape["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [n["type"] for n in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+        return False
+    whole = shape["truncation"] is None and shape["padding"] is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"[\s.,;:!?]", t["content"]) for t in shape["added_tokens"])
+    return whole and steps[1]["pattern"] == {"Regex": r"\s+"} and splits[0]["invert"] and splits[0]["behavior"] == "Removed" and splits[0]["pattern"].get("Regex") == WORDS and not splits[1]["add_prefix_space"]
+
+
+def letter_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of letters from A to Z or of Latin-1: letters in every Unicode version, and never composed anew."""
+    out = LETTER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] != 0x97) & (data[second] != 0xB7)]  # the signs of multiplication and division
+    out[second] = out[second - 1] = True
+    return out
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct value, the number of each value among them)."""
+    part, values = pd.factorize(h)
+    first = np.empty(len(values), np.int64)
+    first[part] = np.arange(len(h))
+    return first, part
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes.
-
-    The vocabulary folds case and composition, then splits by a pattern that never joins
-    characters across white space; so a text's ids are those of its pieces in turn. Each
-    distinct white-space chunk and each distinct piece is encoded once while it is
-    remembered. Texts with characters that the two notions of white space disagree on, or that
-    could hold a special token, and all texts of a vocabulary of another shape, go through the
-    tokenizer whole.
+    """Ids of whole texts by the tokenizer itself.
+
+    Vocabularies that `parts_at_space` knows give a text the ids of its chunks between ASCII white
+    space in turn. There the ids of a chunk that ends in a letter of `letter_bytes` and one of SIGN
+    are those of both parts, and a part of such letters alone is one piece, with the ids of its lower
+    case. So the tokenizer encodes each distinct part once, while its ids are remembered, many parts
+    of letters as one text: their ends are told by the mark at the end of a piece. Texts of any other
+    vocabulary go through it whole.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.remembered = remembered
-        # chunks and folded pieces alike: the ids of a string as a text; when full, the last generation is still asked
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the ids of parts; when full, the last generation is still asked
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         shape = json.loads(self.tokenizer.to_str())
-        steps = [n["type"] for n in (shape["normalizer"] or {}).get("normalizers", [])]
-        splits = (shape["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.pattern = None
-        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["invert"] and splits[0]["behavior"] == "Removed":
-            self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-        self.letters = byte_alphabet()
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _keep(self, text: str, ids: bytes) -> bytes:
-        if len(self.known) >= self.remembered:
-            self.before, self.known = self.known, {}
-        self.known[text] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.before.get(piece)
+        self.by_chunk = parts_at_space(shape)
+        mark, vocabulary = shape["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if mark:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, parts: list[bytes], texts: int = 16, words: int = 128) -> list[bytes]:
+        """Remembers the ids of parts of one piece each; gives those whose ends can't be told."""
+        left = []
+        for at in range(0, len(parts), texts * words):
+            groups = [parts[i : i + words] for i in range(at, min(at + texts * words, len(parts)), words)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                stops = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+                if len(stops) != len(group):
+                    left += group
+                    continue
+                raw = ids.tobytes()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        return left
+
+    def _ids(self, parts: list[bytes], letters: list[bool]) -> list[bytes]:
+        """The ids of distinct parts, as little-endian unsigned 32-bit bytes; `letters`: parts of one piece."""
+        missing = [(p, one) for p, one in zip(parts, letters) if p not in self.known]
+        if len(self.known) + len(missing) > self.remembered:
+            self.before, self.known, missing = self.known, {}, list(zip(parts, letters))
+        alone, together = [], []
+        for p, one in missing:
+            ids = self.before.get(p)
             if ids is None:
-                spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            self._keep(piece, ids)
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self.before.get(chunk)
-        if ids is not None:
-            return self._keep(chunk, ids)
-        folded = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        # letters alone, or before one other sign, are what the pattern makes of most chunks
-        if folded.isalpha():
-            out = self._piece(folded)
-            if folded == chunk:
-                return out
-        elif folded[-1] in ".,;:!?" and folded[:-1].isalpha():
-            out = self._piece(folded[:-1]) + self._piece(folded[-1])
-        else:
-            out = b"".join([self._piece(p) for p in self.pattern.findall(folded)])
-        return self._keep(chunk, out)
-
-    def __call__(self, text: str) -> bytes:
-        if self.pattern is None or any(c in text for c in "\x1c\x1d\x1e\x1f") or any(s in text for s in self.specials):
-            return self._whole(text)
-        make = self._chunk
-        return b"".join([self.known.get(c) or make(c) for c in text.split()])
+                (together if one else alone).append(p)
+            else:
+                self.known[p] = ids
+        alone += self._together(together)
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            self.known.update(zip(some, self._encode([p.decode() for p in some])))
+        return [self.known[p] for p in parts]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first place of each text and the end); null texts are empty."""
+        if not self.by_chunk:
+            found = self._encode([t or "" for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum([len(f) // 4 for f in found], dtype=np.int64)])
+        data, offs = K.text_buffer(texts)
+        starts, ends, row = K.words(data, offs)
+        letter = letter_bytes(data)
+        cut = (ends - starts > 1) & SIGN[data[ends - 1]] & letter[ends - 2]
+        pieces = 1 + cut.astype(np.int64)
+        last = np.cumsum(pieces) - 1
+        starts, ends, row = np.repeat(starts, pieces), np.repeat(ends, pieces), np.repeat(row, pieces)
+        sign = last[cut]
+        starts[sign] = ends[sign] - 1
+        ends[sign - 1] -= 1
+        # parts of letters alone, in lower case from A to Z
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(letter, dtype=np.int32)])
+        plain = total[ends] - total[starts] == ends - starts
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[plain]] += 1
+        step[ends[plain]] -= 1
+        data[(np.cumsum(step[:-1], dtype=np.int8) > 0) & LETTER[data]] |= 0x20
+        h, check = (K.span_hash(data, starts, ends, seed) for seed in (5, 77))
+        first, part = _distinct(h)
+        if not (check == check[first][part]).all():  # parts are equal if 128 bits are
+            _, first, part = np.unique(np.stack([h, check]), axis=1, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        ids = self._ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], plain[first].tolist())
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        begin = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        n = size[part]
+        place = np.cumsum(n)
+        flat = pool[np.repeat(begin[part] - (place - n), n) + np.arange(int(place[-1]) if len(place) else 0)]
+        return flat, np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=len(offs) - 1).astype(np.int64))])
 
 
 @lru_cache(maxsize=2)
@@ -116,18 +180,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _pieces(path: str, end: int, capacity: int, batch_texts: int = 1024):
+def _pieces(path: str, end: int, capacity: int):
     def cut(batches):
         encode = encoder(path)
-        tail = array("I", [end]).tobytes()
+        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, batch_texts):
-                part = batch.slice(at, batch_texts)
-                rows = []
-                for i, text in zip(part.column("id").to_pylist(), part.column("text")):
-                    ids = encode(text.as_py() or "") + tail
-                    n = len(ids) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
+            for part in K.parts(batch, "text", 4 << 20):
+                flat, edge = encode(part.column("text"))
+                raw, edge, rows = flat.astype("<u4").tobytes(), (4 * edge).tolist(), []
+                for i, a, b in zip(part.column("id").to_pylist(), edge[:-1], edge[1:]):
+                    ids = raw[a:b] + tail
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + capacity)]
                         rows.append((i, piece, start, len(own) // 4, zlib.crc32(own)))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -213,7 +276,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     result; other columns are not read. The tokenizer file must be at `tokenizer_path` on every
     machine.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     pieces = written(rows.mapInArrow(_pieces(tokenizer_path, end, capacity), PIECES).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
