@@ -117,7 +117,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def _sign(k: int, m: int, bands_of: int, band: int):
     def sign(batches):
         for batch in batches:
-            for part in K.parts(batch, "text", 2 << 20):
+            for part in K.parts(batch, "text"):
                 n = part.num_rows
                 data, offs = K.text_buffer(part.column("text"))
                 row, h, weight = shingles(data, offs, k)
@@ -385,8 +385,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = _joined(join.by_blocks(label), label)
     ids = every.groupBy("key").agg(F.min("id").alias("id"))
     lowest = label.join(ids, "key").groupBy("root").agg(F.min("id").alias("class_id"))
-    linked = label.join(lowest, "root")
-    # a row a text, written so that the join with a text's copies can be split
+    # written, so that the join with a class of many texts can be split
+    linked = label.join(written(lowest, "lowest").hint("merge"), "root")
+    # a row a text, written for the same reason: a text may have many copies
     classes = ids.join(linked.hint("merge"), "key", "left").select("key", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("root", "key").alias("class_key"))
     return every.select("id", "key").join(written(classes, "classes").hint("merge"), "key").select("id", "key", "class_id", "class_key")
 

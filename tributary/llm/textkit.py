@@ -6,6 +6,8 @@ Words are maximal runs without the bytes 0x20 and 0x09-0x0D.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -117,7 +119,17 @@ def undeltas(width: int, payload: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(payload, f"<u{width}").astype(np.int64))
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: Python workers live on between tasks, next to others that need it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def parts(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Slices of a batch with about `most` text bytes, one row at least."""
     size = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))])
     at = 0
@@ -125,3 +137,4 @@ def parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
