@@ -117,11 +117,30 @@ def _restrict(hashes: np.ndarray, judges: list[OrdinalModel]):
     return restrict
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 0.05, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """A matrix of n rows and d columns as (row, column, value) of what isn't 0."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, d: int):
+        self.row, self.column, self.value, self.shape = row, column, value, (n, d)
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Sparse:
+        row, column = np.nonzero(x)
+        return cls(row, column, x[row, column].astype(np.float64), *x.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * g[self.row], self.shape[1])
+
+
+def fit_ordinal(x: np.ndarray | Sparse, grade: np.ndarray, grades: int, l2: float = 0.05, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of the penalised likelihood by accelerated gradient steps.
 
     Thresholds are a first one and positive gaps, so they stay ordered.
     """
+    x = x if isinstance(x, Sparse) else Sparse.of(x)
     n, d = x.shape
     share = np.array([np.mean(grade > j) for j in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     theta = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(grades - 1) * 1e-3)
@@ -131,13 +150,13 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 0.05,
         w, gaps = z[:d], np.exp(z[d + 1 :])
         theta = z[d] + np.concatenate([[0], np.cumsum(gaps)])
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
-        s = x @ w
+        s = x.times(w)
         upper, lower = 1 / (1 + np.exp(-np.clip(edge[grade + 1] - s, -500, 500))), 1 / (1 + np.exp(-np.clip(edge[grade] - s, -500, 500)))
         p = np.maximum(upper - lower, 1e-9)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         grad_s = (du - dl) / n
         grad_theta = np.array([(dl[grade == j + 1].sum() - du[grade == j].sum()) / n for j in range(grades - 1)])
-        grad = np.concatenate([x.T @ grad_s + l2 * w / n, [grad_theta.sum()], gaps * (grad_theta[::-1].cumsum()[::-1][1:])])
+        grad = np.concatenate([x.transposed_times(grad_s) + l2 * w / n, [grad_theta.sum()], gaps * (grad_theta[::-1].cumsum()[::-1][1:])])
         moment, second = 0.9 * moment + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         z -= 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     return z[:d], z[d] + np.concatenate([[0], np.cumsum(np.exp(z[d + 1 :]))])
@@ -153,9 +172,9 @@ def fit(sample: DataFrame, grades: int) -> OrdinalModel:
     judges = [] if graded else [fit(sample.where(F.col("half") != half), 2) for half in (0, 1)]
     data = sample.mapInArrow(_restrict(hashes, judges), "grade int, places array<int>, counts array<int>, score double").toPandas()
     grade = np.clip(data["grade"].to_numpy(np.int64), 0, grades - 1)
-    x = np.zeros((len(data), len(hashes)), np.float32)
-    for i, (place, count) in enumerate(zip(data["places"], data["counts"])):
-        x[i, place] = np.log1p(count)
+    row = np.repeat(np.arange(len(data)), [len(p) for p in data["places"]])
+    flat = lambda name: np.concatenate([np.asarray(v, np.int64) for v in data[name]])
+    x = Sparse(row, flat("places"), np.log1p(flat("counts")), len(data), len(hashes))
     if not graded:
         score, toxic = data["score"].to_numpy(), grade > 0
         cuts = np.quantile(score[toxic], np.arange(1, grades - 1) / (grades - 1))
