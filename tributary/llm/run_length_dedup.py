@@ -126,7 +126,7 @@ def _sieve(size: int, k: int):
 
 def _lookup(s1: np.ndarray, s2: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of snippet, index of key) for all equal (s1, s2) and (k1, k2)."""
-    order = np.argsort(s1, kind="stable")
+    order = np.argsort(s1)
     lo, hi = np.searchsorted(s1[order], k1, "left"), np.searchsorted(s1[order], k1, "right")
     n = hi - lo
     key = np.repeat(np.arange(len(k1)), n)
@@ -181,23 +181,36 @@ def _fetch(size: int, k: int, shards: int):
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; seven 9-bit symbols to start with."""
+    """Suffix array by prefix doubling; seven 9-bit symbols to start with.
+
+    A round sorts only the suffixes that aren't alone in their group yet. A suffix's rank is the
+    place where its group starts, so ranks of the others stay as they are.
+    """
     n = len(symbols)
     padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(7, np.int64)])  # 0 is after the end, before every symbol
     key = np.zeros(n, np.int64)
     for i in range(7):
         key = (key << 9) | padded[i : i + n]
+    order = np.argsort(key)  # equal keys are told apart later, so the sort needn't be stable
+    key = key[order]
+    starts = np.ones(n, bool)
+    starts[1:] = key[1:] != key[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
     depth = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        group = np.cumsum(np.r_[False, s[1:] != s[:-1]])
-        if n == 0 or group[-1] == n - 1:
+        at = np.flatnonzero(~(starts & np.append(starts[1:], True)))
+        if not len(at):
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = group + 1
-        key = rank * (n + 1)
-        key[: n - depth] += rank[depth:] if depth < n else 0
+        some = order[at]
+        beyond = some + depth
+        key = rank[some] * (n + 1) + np.where(beyond < n, rank[np.minimum(beyond, n - 1)], 0)
+        sub = np.argsort(key)
+        some, key = some[sub], key[sub]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        order[at], starts[at] = some, fresh
+        rank[some] = np.maximum.accumulate(np.where(fresh, at, 0)) + 1
         depth *= 2
 
 
