@@ -30,7 +30,8 @@ from tributary.plans.lattice import propose
 from tributary.plans.records import Limits, Plan, Proposal, Source
 from tributary.plans.types import ROW, SOURCE
 from tributary.session import exact
-from tributary.sources.parquet import Copy, HadoopFile, footer, inventory, scan, sha256_file
+from tributary.sources.parquet import Copy, HadoopFile, clear, footer, inventory, scan, sha256_file
+from tributary.sources.runs import RUNS, Run, grouped, in_order, read_runs, write_runs
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -58,44 +59,41 @@ def _space(spark: SparkSession) -> Path:
     return root
 
 
-def _write_halves(root: str, name: str, make):
-    """Writes the rows of each half, which arrive half after half, and gives a row a file."""
+def _write_halves(root: str, name: str, runs: dict[int, list[Run]], empty: pa.Table, make):
+    """A file for each half that comes in, from its runs one after another."""
 
     def write(batches):
-        open_: dict[int, tuple[str, pq.ParquetWriter]] = {}
         for batch in batches:
-            halves = np.asarray(batch.column("__half"))
-            table = pa.Table.from_batches([batch]).drop_columns(["__half", "__file", "__at"])
-            for i in np.unique(halves).tolist():
-                out = make(i, table.filter(pa.array(halves == i)))
-                if i not in open_:
-                    draft = f"{root}/.{name}-{i}.{uuid.uuid4().hex}"  # a task that runs again writes another file
-                    open_[i] = draft, pq.ParquetWriter(draft, out.schema, version="2.6")
-                open_[i][1].write_table(out)
-        done = []
-        for i, (draft, writer) in open_.items():
-            writer.close()
-            os.replace(draft, f"{root}/{name}-{i}.parquet")
-            done.append((i, *sha256_file(Path(f"{root}/{name}-{i}.parquet"))))
-        yield pa.RecordBatch.from_arrays([pa.array([d[j] for d in done], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.string()))], names=["half", "size", "sha256"])
+            for i in batch.column(0).to_pylist():
+                draft = f"{root}/.{name}-{i}.{uuid.uuid4().hex}"  # a task that runs again writes another file
+                writer = None
+                for table in grouped(read_runs(runs[i])) if i in runs else (empty,):
+                    out = make(i, table)
+                    writer = writer or pq.ParquetWriter(draft, out.schema, version="2.6")
+                    writer.write_table(out)
+                writer.close()
+                os.replace(draft, f"{root}/{name}-{i}.parquet")
+                yield pa.RecordBatch.from_pydict({"half": pa.array([i], pa.int32())} | dict(zip(("size", "sha256"), ([x] for x in sha256_file(Path(f"{root}/{name}-{i}.parquet"))))))
 
     return write
 
 
 def _halves(spark: SparkSession, sf_dir: str, name: str, columns: list[str], key: str, n: int, make, root: Path) -> tuple[tuple[Source, ...], list[str]]:
-    """Sources 0 .. n-1 of the rows with key % n, one task each; make(source, table) gives a batch's table in the source's types."""
+    """Sources 0 .. n-1 of the rows with key % n, one task each; make(source, table) gives a table in the source's types.
+
+    The tasks that read the table write runs, and those of the sources join them: no task sorts or holds a source.
+    """
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     rows = table.select(*columns, (F.col(key) % n).cast("int").alias("__half"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    dealt = rows.repartition(n, "__half").sortWithinPartitions("__half", "__file", "__at")
-    done = {r["half"]: (r["size"], r["sha256"]) for r in dealt.mapInArrow(_write_halves(str(root), name, make), "half int, size long, sha256 string").collect()}  # a row a file
-    empty = to_arrow_schema(table.select(*columns).schema).empty_table()
-    copies = []
-    for i in range(n):
-        path = root / f"{name}-{i}.parquet"
-        if i not in done:
-            pq.write_table(make(i, empty), path, version="2.6")
-            done[i] = sha256_file(path)
-        copies.append(Copy(path.name, path, *done[i]))
+    folder = root / f".{name}-runs.{uuid.uuid4().hex}"
+    folder.mkdir()
+    try:
+        runs = in_order(Run(*r) for r in rows.mapInArrow(write_runs(str(folder)), RUNS).collect())  # a row a source and stretch of a file
+        write = _write_halves(str(root), name, runs, to_arrow_schema(table.select(*columns).schema).empty_table(), make)
+        done = {r["half"]: (r["size"], r["sha256"]) for r in spark.range(0, n, 1, n).mapInArrow(write, "half int, size long, sha256 string").collect()}  # a row a file
+    finally:
+        clear(folder)
+    copies = [Copy(f"{name}-{i}.parquet", root / f"{name}-{i}.parquet", *done[i]) for i in range(n)]
     return inventory(copies, Limits.cluster(), spark), [str(c.path) for c in copies]
 
 

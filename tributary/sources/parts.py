@@ -13,12 +13,13 @@ import os
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.errors import LimitExceeded
+from tributary.errors import LimitExceeded, Refusal
 from tributary.plans.records import Limits, Part, Proposal, part_name
 from tributary.plans.types import ROW, SOURCE, schema_to_arrow
 from tributary.sources.parquet import sha256_file
@@ -80,14 +81,21 @@ class Metered(io.RawIOBase):
 
 
 def _write(path: str, schema: pa.Schema, most: int):
+    """Writes rows that come in row order; gives -1 rows, and no file, if they don't."""
+
     def write(batches):
         draft = f"{path}.{uuid.uuid4().hex}"  # a retried or speculative task never writes another's file
-        rows = 0
+        rows, last = 0, -1
         try:
             with Metered(draft, most) as out:
                 writer = pq.ParquetWriter(out, schema, **WRITER)
                 for batch in batches:
                     if batch.num_rows:
+                        at = np.concatenate([[last], np.asarray(batch.column(batch.num_columns - 1))])
+                        if (np.diff(at) <= 0).any():
+                            yield pa.RecordBatch.from_pydict({"rows": pa.array([-1], pa.int64()), "bytes": pa.array([0], pa.int64()), "sha256": pa.array([""])})
+                            return
+                        last = int(at[-1])
                         writer.write_batch(pa.RecordBatch.from_arrays([as_target(batch.column(i), f.type) for i, f in enumerate(schema)], schema=schema))
                         rows += batch.num_rows
                 writer.close()
@@ -102,11 +110,19 @@ def _write(path: str, schema: pa.Schema, most: int):
 
 
 def write_part(df: DataFrame, proposal: Proposal, source_id: int, directory: Path, limits: Limits) -> Part:
-    """Writes the aligned rows of one source, in row order; an empty source gives an empty part."""
+    """Writes the aligned rows of one source, in row order; an empty source gives an empty part.
+
+    A scan of one file, read by one task split after split, is in row order as it comes, so the task
+    holds no more than a batch. Rows that come in another order are sorted first.
+    """
     path, schema = str(directory / part_name(source_id)), output_schema(proposal)
-    ordered = df.coalesce(1).sortWithinPartitions(ROW)
-    ordered = ordered.toDF(*[f"c{i}" for i in range(len(df.columns))])  # Arrow maps take plain names only
-    done = ordered.mapInArrow(_write(path, schema, limits.max_output_bytes), "rows long, bytes long, sha256 string").collect()
+    for rows in (whole := df.coalesce(1), whole.sortWithinPartitions(ROW)):
+        plain = rows.toDF(*[f"c{i}" for i in range(len(df.columns))])  # Arrow maps take plain names only
+        done = plain.mapInArrow(_write(path, schema, limits.max_output_bytes), "rows long, bytes long, sha256 string").collect()
+        if not done or done[0]["rows"] >= 0:
+            break
+    else:
+        raise Refusal(f"source={source_id}: a row number comes twice", "ERROR")
     if not done:
         pq.write_table(schema.empty_table(), path, **WRITER)
         size, sha = sha256_file(Path(path))
