@@ -3,8 +3,10 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from tables import TABLES
 
 from tributary.errors import Refusal
+from tributary.lifecycle import QUERIES
 from tributary.operators.align import align
 from tributary.plans.lattice import propose
 from tributary.plans.records import Limits, Source
@@ -123,3 +125,25 @@ def test_part_with_a_row_twice_refuses(spark, tmp_path):
     with pytest.raises(Refusal):
         part(spark, tmp_path, lambda df: df.union(df))
     assert not list((tmp_path / "out").iterdir())
+
+
+def plans_since(spark, before):
+    """The number of executions so far, and the plans of those after `before`."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    every = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return every.size(), [every.apply(i).physicalPlanDescription() for i in range(before, every.size())]
+
+
+#: Queries over sources made from a table.
+MADE = [
+    "dataset_report",
+]
+
+
+@pytest.mark.parametrize("name", MADE)
+def test_no_sort_before_a_writing_task(spark, name):
+    before, _ = plans_since(spark, 0)
+    QUERIES[name](spark, TABLES)
+    _, plans = plans_since(spark, before)
+    writing = [p for p in plans if "MapInArrow" in p]
+    assert writing and not [p for p in writing if "Sort" in p or "Exchange" in p]
