@@ -137,6 +137,7 @@ def plans_since(spark, before):
 #: Queries over sources made from a table.
 MADE = [
     "dataset_report",
+    "origin_lookup",
 ]
 
 
