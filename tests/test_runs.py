@@ -138,6 +138,7 @@ def plans_since(spark, before):
 MADE = [
     "dataset_report",
     "origin_lookup",
+    "origin_refusals",
 ]
 
 
