@@ -139,6 +139,7 @@ MADE = [
     "dataset_report",
     "origin_lookup",
     "origin_refusals",
+    "published_dataset",
 ]
 
 
