@@ -140,6 +140,7 @@ MADE = [
     "origin_lookup",
     "origin_refusals",
     "published_dataset",
+    "source_hashes",
 ]
 
 
