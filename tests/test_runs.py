@@ -141,6 +141,7 @@ MADE = [
     "origin_refusals",
     "published_dataset",
     "source_hashes",
+    "sources_where_they_are",
 ]
 
 
