@@ -142,6 +142,7 @@ MADE = [
     "published_dataset",
     "source_hashes",
     "sources_where_they_are",
+    "split_parts",
 ]
 
 
