@@ -143,6 +143,7 @@ MADE = [
     "source_hashes",
     "sources_where_they_are",
     "split_parts",
+    "stream_of_files",
 ]
 
 
