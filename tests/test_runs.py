@@ -144,6 +144,7 @@ MADE = [
     "sources_where_they_are",
     "split_parts",
     "stream_of_files",
+    "union_by_name_null_insert",
 ]
 
 
