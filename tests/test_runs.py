@@ -145,6 +145,7 @@ MADE = [
     "split_parts",
     "stream_of_files",
     "union_by_name_null_insert",
+    "observation_count",
 ]
 
 
