@@ -146,6 +146,7 @@ MADE = [
     "stream_of_files",
     "union_by_name_null_insert",
     "observation_count",
+    "struct_union",
 ]
 
 
