@@ -147,6 +147,7 @@ MADE = [
     "union_by_name_null_insert",
     "observation_count",
     "struct_union",
+    "verify_clean",
 ]
 
 
