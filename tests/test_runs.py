@@ -148,6 +148,7 @@ MADE = [
     "observation_count",
     "struct_union",
     "verify_clean",
+    "verify_mutated",
 ]
 
 
