@@ -149,6 +149,7 @@ MADE = [
     "struct_union",
     "verify_clean",
     "verify_mutated",
+    "widen_signed_unsigned",
 ]
 
 
