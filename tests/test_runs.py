@@ -150,6 +150,7 @@ MADE = [
     "verify_clean",
     "verify_mutated",
     "widen_signed_unsigned",
+    "feasibility_overflow",
 ]
 
 
