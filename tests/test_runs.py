@@ -151,6 +151,7 @@ MADE = [
     "verify_mutated",
     "widen_signed_unsigned",
     "feasibility_overflow",
+    "widen_timestamp_ns",
 ]
 
 
