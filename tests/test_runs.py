@@ -152,6 +152,7 @@ MADE = [
     "widen_signed_unsigned",
     "feasibility_overflow",
     "widen_timestamp_ns",
+    "reconcile_rows",
 ]
 
 
