@@ -153,6 +153,7 @@ MADE = [
     "feasibility_overflow",
     "widen_timestamp_ns",
     "reconcile_rows",
+    "signed_zero_nan",
 ]
 
 
